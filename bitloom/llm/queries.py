@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op10_substring
+from . import op01_simhash, op09_decontaminate, op10_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op01_simhash.query,
+    "op9_benchmark_decontamination": op09_decontaminate.query,
     "op10_substring_dedup": op10_substring.query,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_benchmark_decontamination": op09_decontaminate.SQL,
+}

@@ -60,7 +60,7 @@ def test_empty_table(spark, docs):
 
 
 def test_stage_keeps_columns_and_untouched_texts(spark):
-    rows = [(i, t, "en", i) for i, t in fixture() if i is not None and i < 308]
+    rows = [(i, t, "en", i) for i, t in fixture()[:-1] if i is not None and i < 308]
     d = spark.createDataFrame(rows, "doc_id long, text string, kept string, rep long")
     out = {x.doc_id: x for x in op.dedup(spark, d).collect()}
     want = {x[0]: x for x in brute([r[:2] for r in rows])}
