@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_simhash, op09_decontaminate, op10_substring
+from . import op01_simhash, op04_pack, op05_shard, op06_warc, op07_token_counts, op09_decontaminate, op10_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op01_simhash.query,
+    "op4_packing": op04_pack.query,
+    "op5_sharding": op05_shard.query,
+    "op6_warc": op06_warc.query,
+    "op7_token_counts": op07_token_counts.query,
     "op9_benchmark_decontamination": op09_decontaminate.query,
     "op10_substring_dedup": op10_substring.query,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op6_warc": op06_warc.SQL,
     "op9_benchmark_decontamination": op09_decontaminate.SQL,
 }
