@@ -3,7 +3,7 @@
 write() finds equal payloads by their SHA-1 (partial aggregation by digest, then a join
 that splits skewed digests), writes one response for the smallest page_id of each and
 revisits for the others, a WARC/1.1 record and a Zstandard frame each. The dictionary is
-trained on SAMPLE payloads at most, those of the smallest digests, and stands in a leading
+trained on about SAMPLE payloads, the share of the digests that is smallest, and stands in a leading
 skippable frame of every archive, so an archive can be read by itself. A task writes its
 archives under final names once complete; a task that runs again replaces them by equals.
 read() streams archives back, record by record, and verifies every payload's digest.
@@ -33,7 +33,7 @@ from ._spark import new_path, table, written
 
 MAGIC = 0x184D2A5D
 SAMPLE = 1500
-SAMPLE_CHARS = 32 << 10
+SAMPLE_CHARS = 16 << 10
 DICTIONARY_BYTES = 110 << 10
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
@@ -97,7 +97,9 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, level: int = LEVEL
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.unhex(F.sha1(html)).alias("digest"))
     firsts = written(keyed.groupBy("digest").agg(F.min("page_id").alias("first")), "op6-firsts")
-    some = keyed.select("digest", F.substring("html", 1, SAMPLE_CHARS).alias("start")).orderBy("digest").limit(SAMPLE).collect()
+    share = min(1.0, SAMPLE / max(1, firsts.count()))
+    few = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("double") < share * 2**32
+    some = keyed.where(few).select(F.substring("html", 1, SAMPLE_CHARS).alias("start")).limit(2 * SAMPLE).collect()
     given = dictionary([x.start.encode() for x in some if x.start])
     large = F.octet_length("html") >= min_revisit
     revisit = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
@@ -162,7 +164,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 def read(spark: SparkSession, archives: DataFrame, folder: str) -> DataFrame:
     """The response and revisit records: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to, archive."""
     schema = "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string"
-    return archives.select("archive").repartition("archive").mapInArrow(lambda batches: _read(batches, folder), schema)
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(lambda batches: _read(batches, folder), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
