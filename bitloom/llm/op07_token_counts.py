@@ -34,6 +34,7 @@ from ._tokens import Encoder, default_path
 SEPARATOR = 49407
 BLOCK_TOKENS = 1 << 20
 WIDTH = 2
+BLOCKS_A_TASK = 8
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str) -> Iterator[pa.RecordBatch]:
@@ -67,9 +68,11 @@ def _separators(batches: Iterator[pa.RecordBatch], folder: str, separator: int,
 
 def count_tokens(spark: SparkSession, folder: str, separator: int = SEPARATOR, block: int = BLOCK_TOKENS) -> DataFrame:
     """file, number in it, n_tokens (without the separator) and complete, of each document in the token files under folder."""
-    files = spark.createDataFrame(_files.listed(folder, ".tokens"), "file string, bytes long").withColumn("ids", F.expr(f"bytes div {WIDTH}"))
+    sizes = _files.listed(folder, ".tokens")
+    tasks = sum(-(-size // (WIDTH * block)) for _, size in sizes) // BLOCKS_A_TASK + 1  # a number, else rows as few would be one task's
+    files = spark.createDataFrame(sizes, "file string, bytes long").withColumn("ids", F.expr(f"bytes div {WIDTH}"))
     blocks = files.where("ids > 0").select("file", F.explode(F.expr(f"sequence(0L, (ids - 1) div {block})")).alias("block"))
-    found = blocks.repartition("file", "block").mapInArrow(lambda batches: _separators(batches, folder, separator, block), "file string, block long, places array<long>")
+    found = blocks.repartition(tasks).mapInArrow(lambda batches: _separators(batches, folder, separator, block), "file string, block long, places array<long>")
     found = written(found.withColumn("n", F.size("places").cast("long")).withColumn("last", F.try_element_at("places", F.lit(-1))), "op7-separators")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("number"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("back"))
