@@ -112,7 +112,9 @@ def clean(units: DataFrame, cfg: CleanConfig = CleanConfig(), detector: Callable
     df = units.where(~blank("source_text") & ~blank("target_text")).where(in_pairs(cfg.language_pairs))
     if cfg.remove_untranslated:
         df = df.where(~untranslated())
-    df = df.withColumns({c: clean_text(F.col(c), cfg) for c in ("source_text", "target_text")})
+    # through a generator: filters on cleaned texts must not be moved below it, where each would clean anew
+    texts = F.struct(*(clean_text(F.col(c), cfg).alias(c) for c in ("source_text", "target_text")))
+    df = df.select(*(c for c in units.columns if c not in ("source_text", "target_text")), F.explode(F.array(texts)).alias("cleaned__")).select(*(F.col(f"cleaned__.{c}") if c in ("source_text", "target_text") else c for c in units.columns))
     df = df.where((F.col("source_text") != "") & (F.col("target_text") != "")).where(within_limits(F.col("source_text"), F.col("target_text"), cfg))
     if cfg.lang_detect and detector is not None:
         for lang, c in (("source_lang", "source_text"), ("target_lang", "target_text")):

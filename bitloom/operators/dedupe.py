@@ -27,12 +27,12 @@ def key_columns(case_sensitive: bool = True) -> dict[str, Column]:
 def first_of(units: DataFrame, key: Sequence[Column]) -> DataFrame:
     """The unit with the smallest ordinal for each key.
 
-    Only (128-bit key, ordinal) is aggregated, in part before the shuffle, so a key that
-    many units share is no large group; units follow in one join on the unique ordinal.
+    One aggregation by a 128-bit key: units are computed once and shuffled once, and each
+    task keeps one unit a key before the shuffle, so a key that many units share is no large group.
     """
     sized = [F.concat_ws(":", F.length(k).cast("string"), k) for k in key]  # unambiguous when joined
-    firsts = units.select(F.unhex(F.md5(F.concat(*sized))).alias("k"), "ordinal").groupBy("k").agg(F.min("ordinal").alias("ordinal")).select("ordinal")
-    return units.join(firsts, "ordinal", "left_semi").select(units.columns)
+    keyed = units.select(F.unhex(F.md5(F.concat(*sized))).alias("k"), F.struct("*").alias("unit"))
+    return keyed.groupBy("k").agg(F.min_by("unit", F.col("unit.ordinal")).alias("unit")).select("unit.*")
 
 
 def dedupe_exact(units: DataFrame, case_sensitive: bool = True, within: Sequence[str] = ()) -> DataFrame:
@@ -56,7 +56,7 @@ def merge(parts: Sequence[DataFrame], dedupe: bool = True, fuzzy: bool = False,
 
 def trigrams(c: Column) -> Column:
     """The different runs of three characters; a shorter text is one itself, the empty text has none."""
-    runs = F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
+    runs = F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))."), F.lit(1))  # linear, as substring() by position isn't
     return F.when(c == "", F.array().cast("array<string>")).when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(runs))
 
 

@@ -156,9 +156,11 @@ def report_totals(units: DataFrame, cfg: ValidationConfig = ValidationConfig())
 
 def report_findings(units: DataFrame, cfg: ValidationConfig = ValidationConfig(), by: str = "code") -> DataFrame:
     """severity, the finding's code or message, and how often: by is "code" or "message"."""
-    v = validate(units, cfg)
-    each = F.explode(F.concat(*(F.transform(c, lambda x, s=s: F.struct(F.lit(s).alias("severity"), x[by].alias(by))) for c, s in (("errors", "error"), ("warnings", "warning")))))
-    return v.select(each.alias("f")).groupBy("f.severity", f"f.{by}").agg(F.count(F.lit(1)).alias("n"))
+    def named(c: str, severity: str) -> Column:
+        return F.transform(c, lambda x: F.struct(F.lit(severity).alias("severity"), x[by].alias(by)))
+
+    each = F.explode(F.concat(named("errors", "error"), named("warnings", "warning")))
+    return validate(units, cfg).select(each.alias("f")).groupBy("f.severity", f"f.{by}").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_findings(units: DataFrame, cfg: ValidationConfig = ValidationConfig(), n: int = 15) -> DataFrame:
