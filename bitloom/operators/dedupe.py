@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -82,25 +83,27 @@ def near_pairs(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, source_jaccard, target_jaccard), a < b: representatives of classes of which both sides agree to threshold.
 
     Candidates come from an exact prefix filter, so no pair is missed: two sets with Jaccard t
-    or more share one of their size - ceil(t * size) + 1 globally rarest trigrams. The join's
-    key also has the length range that t allows, which keeps common trigrams' lists short.
+    or more share one of their size - ceil(t * size) + 1 globally rarest trigrams, and the first
+    they share stands early enough in both. The join's key also has the range of sizes that t allows.
     """
     reps = classes(units).where("ordinal = rep").select("ordinal")
     sides = units.join(reps, "ordinal", "left_semi").select("ordinal", trigrams(side_text("source_lang", "source_text")).alias("s"), trigrams(side_text("target_lang", "target_text")).alias("t"))
-    sides = written(sides.withColumn("n", F.size("s")), "fuzzy-sides")
-    tokens = sides.select("ordinal", "n", F.explode("s").alias("g"))
+    sides = written(sides.withColumn("n", F.size("s")).withColumn("m", F.size("t")), "fuzzy-sides")
+    tokens = sides.select("ordinal", "n", "m", F.explode("s").alias("g"))
     rarity = tokens.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(rarity, "g").where("df > 1 or n < 3")
-    # the prefix counts all trigrams of a set: those that no other set has come first and match nothing
-    lonely = tokens.join(rarity, "g").groupBy("ordinal").agg(F.count_if(F.col("df") == 1).alias("alone"))
-    size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    listed = ranked.groupBy("ordinal", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs")).join(lonely, "ordinal")
-    prefix = listed.select("ordinal", "n", F.explode(F.slice("gs", 1, F.greatest(size - F.col("alone"), F.lit(0)).cast("int"))["g"]).alias("g"))
-    step = -F.log(F.lit(threshold)) if threshold < 1 else F.lit(1.0)
-    band = lambda n: F.floor(F.log(n.cast("double")) / step) if threshold < 1 else n.cast("long")
-    left = prefix.select(F.col("ordinal").alias("x"), F.col("n").alias("nx"), "g", F.explode(F.array(*(band(F.col("n")) + k for k in ((-1, 0, 1) if threshold < 1 else (0,))))).alias("band"))
-    right = prefix.select(F.col("ordinal").alias("y"), F.col("n").alias("ny"), "g", band(F.col("n")).alias("band"))
-    found = left.join(right, ["g", "band"]).where("x < y").where((F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold - 1e-9)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    listed = tokens.join(rarity, "g").groupBy("ordinal", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    prefix = listed.select("ordinal", "n", "m", F.posexplode(F.slice("gs", F.lit(1), size)).alias("k", "x")).where("x.df > 1").select("ordinal", "n", "m", "k", "x.g")
+    step = -math.log(threshold) if threshold < 1 else 1.0
+    band = F.floor(F.log(F.col("n").cast("double")) / step) if threshold < 1 else F.col("n").cast("long")
+    near = F.array(*(band + k for k in ((-1, 0, 1) if threshold < 1 else (0,))))
+    left = prefix.select(F.col("ordinal").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("k").alias("ka"), "g", F.explode(near).alias("band"))
+    right = prefix.select(F.col("ordinal").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("k").alias("kb"), "g", band.alias("band"))
+    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9
+    # at the rarest trigram that both have, no more can be common than either has from there on
+    most = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
+    enough = most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    found = left.join(right, ["g", "band"]).where("a < b").where(alike("na", "nb") & alike("ma", "mb") & enough).select("a", "b").distinct()
     a = sides.select(F.col("ordinal").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"))
     b = sides.select(F.col("ordinal").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"))
     scored = found.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("source_jaccard"), jaccard(F.col("ta"), F.col("tb")).alias("target_jaccard"))

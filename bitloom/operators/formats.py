@@ -50,11 +50,9 @@ def rejected(opts: ConvertOptions) -> Column:
         keyed = F.transform(words, lambda w, i: F.struct(draw(i, "place").alias("k"), i.alias("i"), w.alias("w")))
         return F.when(t == "", t).otherwise(F.array_join(F.array_sort(keyed)["w"], " "))
     if opts.rejected_mode == "noise":
-        # each drawn place, the last draw of a place winning
-        draws = F.transform(F.sequence(F.lit(1), F.floor(F.length(t) * 0.1).cast("int")), lambda i: F.struct((draw(i, "at") % F.length(t) + 1).alias("at"), F.char(33 + draw(i, "char") % 94).alias("c")))
-        chars = F.split(t, "")
-        noisy = F.transform(chars, lambda c, i: F.coalesce(F.try_element_at(F.filter(draws, lambda d: d["at"] == i + 1), F.lit(-1))["c"], c))
-        return F.when(F.length(t) < 10, t).otherwise(F.array_join(noisy, ""))
+        places = F.sequence(F.lit(1), F.floor(F.length(t) * 0.1).cast("int"))
+        put = lambda s, i: F.overlay(s, F.char(33 + draw(i, "char") % 94), (draw(i, "at") % F.length(t) + 1).cast("int"), F.lit(1))
+        return F.when(F.length(t) < 10, t).otherwise(F.aggregate(places, t, put))
     if opts.rejected_mode == "repetition":
         # of the words drawn, each goes in before a drawn place
         n = F.size(words)

@@ -1,0 +1,150 @@
+import csv
+import json
+
+import pytest
+
+from bitloom import cli
+from bitloom.config import ConvertOptions
+from bitloom.plans import pipeline
+from bitloom.sinks import write
+from bitloom.sources import tmx
+from bitloom.streaming import units as streaming
+
+HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<tmx version="1.4"{}><header srclang="{}" creationtool="T" segtype="sentence" adminlang="en"><prop type="client">me</prop><prop>x</prop></header><body>'
+
+
+def tu(*segments, attributes="", extra=""):
+    return f"<tu {attributes}>{extra}" + "".join(f'<tuv xml:lang="{lang}"><seg>{text}</seg></tuv>' if lang else f"<tuv><seg>{text}</seg></tuv>" for lang, text in segments) + "</tu>\n"
+
+
+def save(path, *entries, srclang="en", root=""):
+    path.write_text(HEAD.format(root, srclang) + "".join(entries) + "</body></tmx>", encoding="utf-8")
+    return str(path)
+
+
+@pytest.fixture
+def sample(tmp_path):
+    return save(
+        tmp_path / "a.tmx",
+        tu(("en", "Hello world"), ("bg", "Здравей свят"), attributes='tuid="1"', extra='<note> first </note><prop type="domain">x</prop><prop>y</prop>'),
+        tu(("en", "Hello   world"), ("bg", "Здравей свят"), attributes='tuid="2"'),
+        tu(("bg", "Цена: 29.99"), ("en", "Price: 29.99"), ("de", "Preis: 29.99"), attributes='tuid="3"'),
+        tu(("en", "a<bpt i='1'>&lt;b&gt;</bpt> b <hi>gone</hi><x>c </x><!-- no -->d"), ("bg", "е<ph/>ж"), attributes='tuid="4"'),
+        tu(("en", "be\x0bfore"), ("bg", "пре\x0bди"), attributes='tuid="5"'),
+        tu((None, "no lang"), (None, "skipped"), ("bg", "цел"), attributes='tuid="6"'),
+        tu(("en", ""), ("bg", "само"), attributes='tuid="7"'),
+        tu(("en", "x"), ("en", "last"), ("bg", "дубъл"), attributes='tuid="8"'),
+        "<tu tuid='9'><tuv xml:lang='en'><seg>broken &nope;</seg></tuv></tu>",
+        tu(("en", "The end"), ("bg", "Край"), attributes='tuid="10"'),
+    )
+
+
+def pairs(df):
+    return [(x.tu_id, x.source_lang, x.target_lang, x.source_text, x.target_text) for x in df.orderBy("ordinal").collect()]
+
+
+WANT = [
+    ("1", "EN", "BG", "Hello world", "Здравей свят"),
+    ("2", "EN", "BG", "Hello   world", "Здравей свят"),
+    ("3", "EN", "BG", "Price: 29.99", "Цена: 29.99"),
+    ("4", "EN", "BG", "a b cd", "еж"),
+    ("5", "EN", "BG", "before", "преди"),
+    ("6", "EN", "BG", "no lang", "цел"),
+    ("7", "EN", "BG", "", "само"),
+    ("8", "EN", "BG", "last", "дубъл"),
+    ("10", "EN", "BG", "The end", "Край"),
+]
+
+
+def test_read(spark, sample):
+    assert pairs(tmx.read_tmx(spark, sample)) == WANT
+    first = tmx.read_tmx(spark, sample).where("tu_id = '1'").first()
+    assert first.notes == ["first"] and first.metadata == {"domain": "x", "unknown": "y"}
+    assert tmx.broken(spark, sample).first().asDict() == {"entries": 10, "broken": 1, "repaired": 2}
+    kept = {x.tu_id: x.source_text for x in tmx.read_tmx(spark, sample, keep_tags=True).collect()}
+    assert kept["4"] == "a{0} b {1}cd"
+    assert len(pairs(tmx.read_tmx(spark, sample, expand_multilingual=True))) == len(WANT) + 5
+
+
+def test_header(spark, sample, tmp_path):
+    h = tmx.headers(spark, sample).first().asDict()
+    assert h == {"file_index": 0, "source_lang": "EN", "creation_tool": "T", "creation_date": None, "seg_type": "sentence", "admin_lang": "en", "properties": {"client": "me", "unknown": "x"}}
+    (tmp_path / "none.tmx").write_text(f"<tmx><body>{tu(('en', 'a'), ('bg', 'b'))}</body></tmx>")
+    assert tmx.headers(spark, f"{tmp_path}/none.tmx").first().source_lang is None
+    assert pairs(tmx.read_tmx(spark, f"{tmp_path}/none.tmx"))[0][1:] == ("EN", "BG", "a", "b")
+    with pytest.raises(FileNotFoundError):
+        tmx.read_tmx(spark, f"{tmp_path}/missing.tmx")
+
+
+def test_namespaces_and_whole_files(spark, tmp_path):
+    body = [tu(("en", f"text {k}"), ("bg", f"текст {k}"), attributes=f'tuid="{k}"') for k in range(40)]
+    plain = save(tmp_path / "p.tmx", *body, root=' xmlns="urn:example:tmx"')
+    want = [(str(k), "EN", "BG", f"text {k}", f"текст {k}") for k in range(40)]
+    assert pairs(tmx.read_tmx(spark, plain)) == want == pairs(tmx.read_tmx(spark, plain, whole_files=True)) == pairs(tmx.read_tmx(spark, plain, strict=True))
+    wide = tmp_path / "w.tmx"
+    wide.write_bytes((tmp_path / "p.tmx").read_text().replace("UTF-8", "UTF-16").encode("utf-16"))
+    assert pairs(tmx.read_tmx(spark, str(wide), whole_files=True)) == want
+
+
+def test_order_over_splits(spark, tmp_path):
+    path = save(tmp_path / "big.tmx", *(tu(("en", f"номер {k}"), ("bg", "я"), attributes=f'tuid="{k}"') for k in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        u = tmx.read_tmx(spark, [path, path])
+        rows = u.orderBy("ordinal").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [x.tu_id for x in rows] == [str(k) for k in range(3000)] * 2 and len({x.ordinal for x in rows}) == 6000
+
+
+def test_sinks(spark, sample, tmp_path):
+    u = tmx.read_tmx(spark, sample)
+    lines = [json.loads(x) for x in open(write.convert(u, f"{tmp_path}/o.jsonl", single=True), encoding="utf-8")]
+    assert lines[0] == {"source_lang": "EN", "target_lang": "BG", "source": "Hello world", "target": "Здравей свят"} and len(lines) == len(WANT)
+    assert json.load(open(write.convert(u, f"{tmp_path}/o.json", "JSON", single=True), encoding="utf-8")) == lines
+    for fmt, sep in (("csv", ","), ("tsv", "\t")):
+        path = write.convert(u, f"{tmp_path}/o.{fmt}", fmt, single=True)
+        assert list(csv.DictReader(open(path, encoding="utf-8", newline=""), delimiter=sep)) == lines
+        assert open(write.convert(u.limit(0), f"{tmp_path}/e.{fmt}", fmt, single=True)).read() == ""
+        assert spark.read.csv(write.convert(u, f"{tmp_path}/parts.{fmt}", fmt), sep=sep, header=True).count() == len(WANT)
+    assert spark.read.parquet(write.convert(u, f"{tmp_path}/o.parquet", "parquet")).count() == len(WANT)
+    assert spark.read.json(write.convert(u, f"{tmp_path}/parts.jsonl", "chatml")).count() == len(WANT)
+    write.convert(u, f"{tmp_path}/hf", "hf_dataset", ConvertOptions(bidirectional=True), ratios=(0.5, 0.25, 0.25), stratify_by_lang=True)
+    meta = json.load(open(f"{tmp_path}/hf/metadata.json"))
+    assert meta["total"] == 18 and meta["train"] + meta["validation"] + meta["test"] == 18 and meta["stratified"]
+    assert sum(1 for _ in open(f"{tmp_path}/hf/train.jsonl", encoding="utf-8")) == meta["train"]
+    assert json.load(open(write.dump_units(u, f"{tmp_path}/dump.json"), encoding="utf-8"))[0]["id"] == "1"
+    assert [write.by_suffix(x).value for x in ("a.csv", "a.parquet", "a.xyz")] == ["csv", "parquet", "jsonl"]
+
+
+def test_pipeline_and_batch(spark, sample, tmp_path):
+    report = pipeline.run(spark, sample, f"{tmp_path}/out", "chatml", val_ratio=0.25, test_ratio=0.25)
+    assert report["counts"] == {"input": 9, "after_clean": 8, "after_dedupe": 7} and report["splits"]["total"] == 7
+    assert sum(1 for s in ("train", "validation", "test") for _ in open(f"{tmp_path}/out/{s}_chatml.jsonl", encoding="utf-8")) == 7
+    merged = pipeline.process_files(spark, [sample, sample], f"{tmp_path}/m", merge=True)
+    assert merged == {"merged": {"input": 18, "after_clean": 16, "after_dedupe": 7, "output": 7}}
+    each = pipeline.process_files(spark, [sample, sample], f"{tmp_path}/e", plan=pipeline.Plan(options=ConvertOptions(bidirectional=True), fuzzy=True))
+    assert [x["output"] for x in each.values()] == [14, 14] and len(each) == 2
+
+
+def test_cli(spark, sample, tmp_path, capsys):
+    assert cli.main(["convert", sample, "-o", f"{tmp_path}/c.jsonl", "-f", "alpaca"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["after_dedupe"] == 7
+    assert cli.main(["clean", sample, "-o", f"{tmp_path}/c.csv"], spark) == 0 and len(open(f"{tmp_path}/c.csv", encoding="utf-8").readlines()) == 8
+    assert cli.main(["stats", sample, "-o", f"{tmp_path}/s.json"], spark) == 0 and json.load(open(f"{tmp_path}/s.json"))["total_units"] == 9
+    assert cli.main(["validate", sample], spark) == 0 and cli.main(["parse", sample, "--limit", "3", "-o", f"{tmp_path}/p.json"], spark) == 0
+    assert len(json.load(open(f"{tmp_path}/p.json", encoding="utf-8"))) == 3
+    assert cli.main(["merge", sample, sample, "-o", f"{tmp_path}/g"], spark) == 0
+    assert cli.main(["stats", f"{tmp_path}/nothing*"], spark) == 2
+
+
+def test_stream(spark, sample, tmp_path):
+    u = tmx.read_tmx(spark, sample)
+    for _ in range(2):
+        u.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    q = streaming.start(streaming.read_units(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", "alpaca")
+    q.awaitTermination()
+    assert spark.read.json(f"{tmp_path}/out").count() == 7
+    with pytest.raises(ValueError):
+        streaming.start(u, "x", "y", "csv")
