@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import replaced, table, text_key, written
+from ._spark import drop, replaced, table, text_key, written
 
 WIDTH = 50
 #: Words that a pair may span, by round; repeated runs are folded in the rounds of RUNS.
@@ -149,15 +149,21 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The other columns, the words removed, and what is left; null where nothing is."""
     for b in batches:
+        rest = [c for c in b.schema.names if c not in ("text", "starts")]
         texts, starts = b.column("text"), b.column("starts")
         kept, removed = [], []
         for i in range(len(b)):
+            if not starts[i].is_valid:
+                kept.append(None)
+                removed.append(0)
+                continue
             words = T.word_list((texts[i].as_py() or "").encode())
             gone = T.covered(np.asarray(starts[i].values.to_numpy(), np.int64), width, len(words))
             kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
             removed.append(int(gone.sum()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tk"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "tk", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*rest, "n_removed", "kept"])
 
 
 def part_of(tk: Column) -> Column:
@@ -167,15 +173,21 @@ def part_of(tk: Column) -> Column:
 
 def repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts by row (doc_id, tk, n_words, whole); by text key the smallest doc_id (tk, rep);
-    and for the representatives that lose words, what is left (doc_id, tk, n_removed, kept).
+    and for the representatives that lose words, where lost windows start (doc_id, tk, starts).
+
+    Each table is deleted as soon as no later step reads it.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("tk"))
     facts = written(
         texts.mapInArrow(lambda batches: _facts(batches, width), "doc_id long, tk binary, n_words long, whole string, loose boolean, symbols array<long>"),
         "op10-facts",
     )
-    known = facts.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
+    parsed = facts
+    known = parsed.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
     reps = written(known.groupBy("tk").agg(F.min("doc_id").alias("rep"), F.first("loose").alias("loose"), F.first("symbols").alias("symbols")), "op10-reps")
+    facts = written(parsed.drop("symbols", "loose"), "op10-facts")
+    drop(parsed)
+    owners = written(reps.select("tk", "rep"), "op10-owners")
     at = reps.select(F.col("rep").alias("doc_id"), F.explode("symbols").alias("symbol"))
     # a doc_id with two texts holds a symbol twice; that only adds windows to verify
     shared = at.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol")
@@ -185,32 +197,41 @@ def repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> tuple[D
         texts.join(wanted, ["doc_id", "tk"]).select("doc_id", "tk", "text", "shared").mapInArrow(lambda batches: _windows(batches, width), "a long, b long, doc_id long, place long"),
         "op10-windows",
     )
+    drop(reps)
     firsts = written(windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first"), "op10-firsts")
     place = F.col("place")
     gone = windows.join(firsts, ["a", "b"]).where("first < doc_id").groupBy("doc_id", F.shiftright(place, 32).alias("part")).agg(F.collect_set(place.bitwiseAND(0xFFFFFFFF)).alias("starts"))
-    own = reps.select(F.col("rep").alias("doc_id"), "tk", part_of(F.col("tk")).alias("part")).join(gone, ["doc_id", "part"]).select("doc_id", "tk", "starts")
-    left = texts.join(own, ["doc_id", "tk"]).mapInArrow(lambda batches: _cut(batches, width), "doc_id long, tk binary, n_removed long, kept string").dropDuplicates(["doc_id", "tk"])
-    return facts, reps.select("tk", "rep"), left
+    own = owners.select(F.col("rep").alias("doc_id"), "tk", part_of(F.col("tk")).alias("part")).join(gone, ["doc_id", "part"]).select("doc_id", "tk", "starts")
+    losses = written(own, "op10-losses")
+    for done in (windows, firsts):
+        drop(done)
+    return facts, owners, losses
 
 
 def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the words that remain, joined by one space, as the text of each document that loses
     some, and n_chars to match; documents that lose every word go, all others are as they were.
     """
-    _, reps, left = repeats(spark, docs, width)
+    facts, reps, losses = repeats(spark, docs, width)
+    copies = facts.join(reps, "tk").where("rep < doc_id").select("doc_id", "tk", F.lit(None).cast("array<long>").alias("starts"), F.lit(True).alias("copy")).distinct()
+    changes = losses.withColumn("copy", F.lit(False)).unionByName(copies)
     keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"))
-    found = keyed.join(reps, "tk", "left").where("rep is null or doc_id is null or rep >= doc_id")
-    joined = found.join(left, ["doc_id", "tk"], "left").where("kept is null or kept <> ''")
-    return joined.select(replaced(docs, F.col("doc"), F.col("kept")))
+    found = keyed.join(changes, ["doc_id", "tk"], "left").where("copy is null or not copy").select("doc", "doc.text", "starts")
+    schema = f"doc {keyed.schema['doc'].dataType.simpleString()}, n_removed long, kept string"
+    rest = found.mapInArrow(lambda batches: _cut(batches, width), schema).where("kept is null or kept <> ''")
+    return rest.select(replaced(docs, F.col("doc"), F.col("kept")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, reps, left = repeats(spark, table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    facts, reps, losses = repeats(spark, docs)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tk"), "text")
+    cut = keyed.join(losses, ["doc_id", "tk"]).mapInArrow(lambda batches: _cut(batches, WIDTH), "doc_id long, tk binary, n_removed long, kept string")
+    left = cut.select("doc_id", "tk", F.col("n_removed").alias("lost"), F.sha2("kept", 256).alias("left_sha")).dropDuplicates(["doc_id", "tk"])
     copy, none = F.col("rep") < F.col("doc_id"), hashlib.sha256(b"").hexdigest()
     return (
-        facts.select("doc_id", "tk", "n_words", "whole")
-        .join(reps, "tk", "left")
-        .join(left.withColumn("left_sha", F.sha2("kept", 256)).select("doc_id", "tk", F.col("n_removed").alias("lost"), "left_sha"), ["doc_id", "tk"], "left")
+        facts.join(reps, "tk", "left")
+        .join(left, ["doc_id", "tk"], "left")
         .select(
             "doc_id",
             "n_words",
