@@ -1,56 +1,19 @@
-"""Session helpers: tables, the shared scratch folder and hash keys."""
+"""Session helpers: tables, hash keys, and columns put back."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: list[str] = []
+from ..scratch import drop, new_path, written
+
+__all__ = ["drop", "new_path", "replaced", "table", "text_key", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local mode a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="bitloom-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        at = f"file://{_own[0]}"
-    return f"{at.rstrip('/')}/bitloom"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once, as a table in the shared folder: lost executors cost no recomputation."""
-    at = new_path(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a written() table that no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = scratch(spark).split("://")[-1]
-    for at in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if root in at:
-            jvm.org.apache.hadoop.fs.Path(at).getFileSystem(conf).delete(jvm.org.apache.hadoop.fs.Path(at), True)
-
-
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
