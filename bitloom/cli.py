@@ -97,7 +97,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             write.write_json(found, a.output)
         show(found)
     elif a.command == "pipeline":
-        show(pipeline.run(spark, files, a.output, a.format, plan, a.val_ratio, a.test_ratio, a.seed, a.stratify)["counts"])
+        show(pipeline.run(spark, files, a.output, a.format, plan, a.test_ratio, a.val_ratio, a.seed, a.stratify)["counts"])
     else:
         show(pipeline.process_files(spark, files, a.output, a.format, plan, merge=a.command == "merge"))
     return 0

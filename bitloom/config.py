@@ -20,9 +20,10 @@ class CleanConfig:
     # steps on texts
     fix_punctuation: bool = True
     normalize_spaces: bool = True
-    normalize_unicode: bool = True
-    unicode_form: str = "NFKC"
     strip_whitespace: bool = True
+    normalize_unicode: bool = True  # by unicode_form
+    #: NFC, NFD, NFKC or NFKD
+    unicode_form: str = "NFKC"
     preserve_placeholders: bool = False
     remove_placeholder_tags: bool = True
     remove_control_chars: bool = True
@@ -38,8 +39,8 @@ class CleanConfig:
 @dataclass(frozen=True)
 class ValidationConfig:
     min_quality_score: float = 0.0
-    min_similar_words_ratio: float = 0.0
     max_alignment_ratio: float = 5.0
+    min_similar_words_ratio: float = 0.0
     max_digit_mismatch_ratio: float = 1.0
     max_noise_ratio: float = 0.3
     check_no_bad_placeholders: bool = True

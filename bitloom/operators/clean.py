@@ -36,7 +36,7 @@ def fix_punctuation(c: Column) -> Column:
     """Repeated marks become one, no space stands before a mark and one after it; figures such as 29.99 stay."""
     c = F.regexp_replace(c, r"([.!?])\1+", "$1")
     c = F.regexp_replace(c, rf"(?U){T.SPACE}+([.,;:!?])", "$1")
-    return F.regexp_replace(c, r"(?U)([;:!?])(?=[^\s\x1c-\x1f])|([.,])(?=[^\d\s\x1c-\x1f])", "$1$2 ")
+    return F.regexp_replace(c, r"(?U)([;:!?])(?=[^\s\x1c-\x1f])|([.,])(?=[^\x1c-\x1f\s\d])", "$1$2 ")
 
 
 def mask_pii(c: Column, mask: str) -> Column:

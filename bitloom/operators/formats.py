@@ -11,7 +11,7 @@ from ..config import ConvertOptions, OutputFormat
 from ..schema import blank
 from .clean import in_pairs
 
-_ASK = "Translate the following text from {src} to {tgt}."
+_ASK = " ".join(["Translate the following text", "from {src} to {tgt}."])
 DEFAULTS = {
     OutputFormat.PROMPT_COMPLETION: "Translate from {src} to {tgt}:",
     OutputFormat.REASONING: f"{_ASK} Show your reasoning.",

@@ -9,6 +9,7 @@ plain Python. Random texts and Unicode forms have none either.
 
 from __future__ import annotations
 
+from ..operators import clean as C
 from .views import ENTRIES, UNITS_DOC, UNITS_LINE, UNITS_PAGE, UNITS_TURN
 
 WS = r"[\s\x0b\x1c-\x1f]"
@@ -41,26 +42,27 @@ def punctuation(e: str) -> str:
     return e
 
 
-PLACEHOLDERS = r"\{[^{}]+\}|\[[^\]]+\]|<[^>]+>" + r"|%(?:\d+\$)?[a-zA-Z]" + r"|\$\{[^}]+\}"
-TOKENS = r"\{[^{}]+\}|\[[^\]]+\]" + r"|%(?:\d+\$)?[a-zA-Z]" + r"|\$\{[^}]+\}"
-URL = r"(?i)https?://\S+|www\.\S+" + r"|ftp://\S+"
-EMAIL = r"[a-zA-Z0-9._%+-]+@" + r"[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-PII = (EMAIL, r"(?i)\b[A-Z]{2}\d{2}" + r"[A-Z0-9]{11,30}\b", r"\b(?:\d[ -]*?)" + r"{13,16}\b", r"(?:\+?\d{1,3}[-.\s]?)?" + r"\(?\d{2,4}\)?[-.\s]?" + r"\d{3,4}[-.\s]?" + r"\d{3,4}")
+def re2(java: str) -> str:
+    """A pattern of the operators without Java's flag for Unicode classes."""
+    return java.replace("(?iU)", "(?i)").replace("(?U)", "")
+
+
+PII = tuple(re2(x) for x in (C.EMAIL, C.IBAN, C.CARD, C.PHONE))
 
 
 def clean_text(e: str, *, tags="space", placeholders=True, urls=False, emails=False, punct=True, pii=False) -> str:
     e = strip(e)
-    e = sub(e, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    e = sub(e, C.CONTROL, "")
     if tags == "space":
         e = sub(e, "<[^>]+>", " ")
     elif tags == "keep":
-        e = f"array_to_string(list_transform(regexp_extract_all({e}, '<[^>]+>|[^<]+|<'), lambda p: CASE WHEN regexp_matches(p, '^<[^>]+>') THEN array_to_string(regexp_extract_all(p, {q(TOKENS)}), ' ') ELSE p END), '')"
+        e = f"array_to_string(list_transform(regexp_extract_all({e}, '<[^>]+>|[^<]+|<'), lambda p: CASE WHEN regexp_matches(p, '^<[^>]+>') THEN array_to_string(regexp_extract_all(p, {q(C.TOKENS)}), ' ') ELSE p END), '')"
     if placeholders:
-        e = sub(e, PLACEHOLDERS, " ")
+        e = sub(e, C.PLACEHOLDERS, " ")
     if urls:
-        e = sub(e, URL, " ")
+        e = sub(e, re2(C.URL), " ")
     if emails:
-        e = sub(e, EMAIL, " ")
+        e = sub(e, C.EMAIL, " ")
     if punct:
         e = punctuation(e)
     if pii:

@@ -60,7 +60,7 @@ def process_files(spark: SparkSession, files: Sequence[str], out: str, fmt: Outp
     return results
 
 
-def run(spark: SparkSession, files: str | Sequence[str], out: str, fmt: OutputFormat | str = OutputFormat.JSONL, plan: Plan = Plan(), val_ratio: float = 0.05, test_ratio: float = 0.05, seed: int = split.SEED, stratify: bool = False, single: bool = True) -> dict:
+def run(spark: SparkSession, files: str | Sequence[str], out: str, fmt: OutputFormat | str = OutputFormat.JSONL, plan: Plan = Plan(), test_ratio: float = 0.05, val_ratio: float = 0.05, seed: int = split.SEED, stratify: bool = False, single: bool = True) -> dict:
     """Read, clean, dedupe, validate (a report: nothing goes), count, split, write {split}_{format}.jsonl and metadata.json."""
     fmt = OutputFormat(fmt) if isinstance(fmt, str) else fmt
     ratios = (1.0 - val_ratio - test_ratio, val_ratio, test_ratio)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..operators.expand import expand
 from ..schema import as_units
 
-INLINE = frozenset(("bpt", "ept", "ph", "it", "hi", "ut"))
+INLINE = frozenset("hi it ph ut bpt ept".split())
 FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 ENTRY = "tu_id string, notes array<string>, metadata map<string,string>, segments array<struct<lang:string,text:string>>, error string"
 _XML_LANG = "{http://www.w3.org/XML/1998/namespace}lang"
@@ -75,7 +75,8 @@ def entry(tu, header_lang: str | None, keep_tags: bool = False) -> tuple:
             if text := segment_text(seg, keep_tags):
                 segments[lang] = text
         for x in _named(variant, "prop"):
-            metadata[x.get("type", f"tuv_{lang}_prop")] = x.text or ""
+            kind = x.get("type")
+            metadata["tuv_%s_prop" % lang if kind is None else kind] = x.text or ""
     return tu.get("tuid"), notes, metadata, list(segments.items())
 
 
