@@ -10,7 +10,7 @@ plain Python. Random texts and Unicode forms have none either.
 from __future__ import annotations
 
 from ..operators import clean as C
-from .views import ENTRIES, UNITS_DOC, UNITS_LINE, UNITS_PAGE, UNITS_TURN
+from .views import ENTRIES, ENTRIES_BY_RANK, UNITS_DOC, UNITS_LINE, UNITS_PAGE, UNITS_TURN
 
 WS = r"[\s\x0b\x1c-\x1f]"
 
@@ -192,6 +192,10 @@ ORACLES: dict[str, str] = {
 SELECT entry * 4096 + (a.k - 1) * (a.n - 1) + CASE WHEN b.k > a.k THEN b.k - 2 ELSE b.k - 1 END AS ordinal, source AS tu_id, a.lang AS source_lang, b.lang AS target_lang, a.text AS source_text, b.text AS target_text FROM numbered a JOIN numbered b USING (source, entry) WHERE a.k <> b.k AND a.n > 2""",
     "first_pair": f"""WITH {ENTRIES}, o AS (SELECT *, CASE WHEN has_en AND lang = 'EN' THEN 0 ELSE k END AS p FROM numbered), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p) AS x FROM o)
 SELECT a.entry AS ordinal, a.source AS tu_id, a.lang AS source_lang, b.lang AS target_lang, a.text AS source_text, b.text AS target_text FROM r a JOIN r b ON a.source = b.source AND a.x = 1 AND b.x = 2""",
+    "expand_multilingual_whole": f"""WITH {ENTRIES_BY_RANK}
+SELECT entry * 4096 + (k - 1) * (n - 1) + CASE WHEN other > k THEN other - 2 ELSE other - 1 END AS ordinal, source AS tu_id, source_lang, target_lang, source_text, target_text FROM pairs WHERE n > 2
+UNION ALL SELECT ordinal * 4096, tu_id, source_lang, target_lang, source_text, target_text FROM firsts WHERE n < 3""",
+    "first_pair_whole": f"WITH {ENTRIES_BY_RANK} SELECT ordinal, tu_id, source_lang, target_lang, source_text, target_text FROM firsts",
     "validate_flags": f"{_flagged} SELECT ordinal, {VALID} AS is_valid, {CODES(ERRORS)} AS errors, {CODES(WARNINGS)} AS warnings FROM flags",
     "number_mismatch_ratio": f"{_doc}, {NUMBERS} SELECT ordinal, mismatch FROM mism",
     "quality_score": f"{_doc}, {NUMBERS} SELECT ordinal, {SCORE} AS score FROM mism",

@@ -66,6 +66,8 @@ QUERIES: dict[str, Query] = {
     "list_target_languages": doc(analyze.target_languages),
     "expand_multilingual": over(views.entries_by_source, lambda e: expand.expand(e.where(F.size("segments") > 2), multilingual=True)),
     "first_pair": over(views.entries_by_source, lambda e: expand.expand(e.where(F.size("segments") > 1))),
+    "expand_multilingual_whole": over(views.entries_by_rank, lambda e: expand.expand(e, multilingual=True)),
+    "first_pair_whole": over(views.entries_by_rank, expand.expand),
     "validate_flags": doc(lambda u: validate.validate(u).select("ordinal", "is_valid", codes("errors"), codes("warnings"))),
     "number_mismatch_ratio": doc(lambda u: u.select("ordinal", validate.number_mismatch().alias("mismatch"))),
     "quality_score": doc(lambda u: u.select("ordinal", validate.quality_score().alias("score"))),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import as_units
@@ -78,3 +78,28 @@ def entries_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = """firsts AS (SELECT source, upper(lang) AS lang, min(doc_id) AS doc_id FROM documents WHERE text <> '' AND source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2),
 texts AS (SELECT f.*, substr(text, 1, 200) AS text FROM firsts f JOIN documents d ON f.doc_id = d.doc_id),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n, min(doc_id) OVER (PARTITION BY source) AS entry, bool_or(lang = 'EN') OVER (PARTITION BY source) AS has_en FROM texts)"""
+
+
+#: Documents of a (source, lang) are ranked within runs of so many ids, and the runs' counts summed: no group is sorted in one task.
+RUN = 4096
+
+
+def entries_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry a source and rank: the document of that rank by doc_id of each language, whole, in the order of doc_id."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text <> '' and source is not null and lang is not null")
+    d = d.select("source", F.upper("lang").alias("lang"), F.floor(F.col("doc_id") / RUN).alias("run"), "doc_id", "text")
+    of = ["source", "lang", "run"]
+    by = Window.partitionBy("source", "lang").orderBy("run")
+    base = d.groupBy(of).agg(F.count(F.lit(1)).alias("n")).select(*of, (F.sum("n").over(by) - F.col("n")).alias("base"))
+    ranked = d.withColumn("k", F.row_number().over(Window.partitionBy(of).orderBy("doc_id"))).join(base, of)
+    s = F.array_sort(F.collect_list(F.struct("doc_id", "lang", "text")))
+    each = ranked.groupBy("source", (F.col("base") + F.col("k")).alias("rank")).agg(s.alias("s"))
+    return each.select(F.get("s", F.lit(0))["doc_id"].alias("ordinal"), F.col("source").alias("tu_id"), F.transform("s", lambda x: F.struct(x["lang"].alias("lang"), x["text"].alias("text"))).alias("segments"), F.lit("EN").alias("header_lang"))
+
+
+ENTRIES_BY_RANK = """ranked AS (SELECT source, upper(lang) AS lang, doc_id, text, row_number() OVER (PARTITION BY source, upper(lang) ORDER BY doc_id) AS r FROM documents WHERE text <> '' AND source IS NOT NULL AND lang IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, r ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source, r) AS n, min(doc_id) OVER (PARTITION BY source, r) AS entry FROM ranked),
+pairs AS (SELECT entry, source, a.n, a.k, b.k AS other, a.lang AS source_lang, b.lang AS target_lang, a.text AS source_text, b.text AS target_text FROM numbered a JOIN numbered b USING (source, r, entry) WHERE a.k <> b.k),
+plain AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY source_lang <> 'EN', k, other) AS x FROM pairs),
+firsts AS (SELECT entry AS ordinal, source AS tu_id, source_lang, target_lang, source_text, target_text, n FROM plain WHERE x = 1
+  UNION ALL SELECT entry, source, 'EN', lang, '', text, n FROM numbered WHERE n = 1)"""
