@@ -5,8 +5,9 @@ with its root-to-leaf path of tags and classes. By path, text length and punctua
 summed: the text ratio is characters a block, the punctuation ratio marks a block, link
 text counting against both. Their product, smoothed over the blocks in page order, is
 compared with a threshold from its own spread; paths whose blocks pass carry content. The
-smallest element that holds most of their text is the article, and every block in it that
-doesn't stand in a menu, header, footer, sidebar, notice, advert, form, script, style or
+article is the article or main element around most of their text; without one the smallest
+element that holds all of them, but for blocks that pass by their neighbours only, and the
+top headings. Every block in it that doesn't stand in a menu, header, footer, sidebar, notice, advert, form, script, style or
 comments is returned, in page order and unshortened.
 
 Null and empty pages, and pages without text, give the empty text. Unclosed and
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._spark import table
 
-#: Part of all content text that the article must hold.
+#: Part of all content text that the element must hold which an article or main is looked for around.
 HELD = 0.85
 SMOOTHING = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
 
@@ -56,12 +57,15 @@ _IMPLIED = {
 }
 _CLOSES_P = _BLOCK - {"br", "button", "body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "col", "colgroup", "option", "optgroup", "noscript", "template", "title", "textarea", "select", "legend"}
 _P_SCOPE = frozenset("button td th caption table html template object".split())
+#: Elements that are part of what stands around them.
+_PART = frozenset("p b i em strong span a h1 h2 h3 h4 li td blockquote ul ol dl dt dd pre code table thead tbody section".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, bool]]]:
-    """Blocks (element, text, characters in links), and elements (parent, path, excluded) with element 0 the root."""
-    elements: list[tuple[int, str, bool]] = [(-1, "", False)]
+def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, bool, str]]]:
+    """Blocks (element, text, characters in links), and elements (parent, path, excluded, tag) with element 0 the root."""
+    elements: list[tuple[int, str, bool, str]] = [(-1, "", False, "")]
     out: list[tuple[int, str, int]] = []
     stack: list[tuple[str, int]] = [("", 0)]
     text: list[str] = []
@@ -137,7 +141,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
         if not gone:
             inner = any(n in ("article", "main") for n, _ in stack)
             gone = name in _GONE or (name == "header" and not inner) or bool(names and name not in ("html", "body", "main", "article") and _BAD.search(names))
-        elements.append((parent, f"{path}/{name}.{names.split()[0]}" if names.strip() else f"{path}/{name}", gone))
+        elements.append((parent, f"{path}/{name}.{names.split()[0]}" if names.strip() else f"{path}/{name}", gone, name))
         stack.append((name, len(elements) - 1))
         links += name == "a"
         if name in _RAW:
@@ -166,21 +170,29 @@ def extract(page: str) -> str:
         smooth = smooth[len(SMOOTHING) // 2 :][: len(score)]
     threshold = min(smooth.std(), 0.5 * smooth.mean())
     held: dict[int, int] = defaultdict(int)  # content text by element, with all below it
-    total = 0
-    for (owner, text, linked), s in zip(found, smooth):
-        own = max(0, len(text) - 2 * linked)
-        if s >= threshold and own:
-            total += own
-            while owner >= 0:
-                held[owner] += own
-                owner = elements[owner][0]
-    if not total:
+    sure: dict[int, int] = defaultdict(int)  # blocks by element that the article must hold, likewise
+    for (owner, text, linked), own_score, s in zip(found, score, smooth):
+        tag = elements[owner][3]
+        own = max(0, len(text) - 2 * linked) if s >= threshold else 0
+        must = tag == "h1" or own > 0 and (own_score >= threshold or tag in _HEADING)
+        while owner >= 0:
+            held[owner] += own
+            sure[owner] += must
+            owner = elements[owner][0]
+    if not held[0]:
         return ""
-    article = max((k for k, n in held.items() if n >= HELD * total), default=0)  # children have larger numbers
-    while article and elements[article][1].rsplit("/", 1)[-1].split(".")[0] in ("p", "b", "i", "em", "strong", "span", "a", "h1", "h2", "h3", "h4", "li", "td", "blockquote"):
-        article = elements[article][0]
+    at = max(k for k, n in held.items() if n >= HELD * held[0])  # children have larger numbers
+    around = {}
+    while at >= 0:
+        around[elements[at][3]] = at
+        at = elements[at][0]
+    article = around.get("article", around.get("main", -1))
+    if article < 0:
+        article = max(k for k, n in sure.items() if n == sure[0] and held[k] >= HELD * held[0])
+        while article and elements[article][3] in _PART:
+            article = elements[article][0]
     inside = [False] * len(elements)
-    for k, (parent, _, _) in enumerate(elements):
+    for k, (parent, *_) in enumerate(elements):
         inside[k] = k == article or (parent >= 0 and inside[parent])
     return "\n".join(text for owner, text, _ in found if inside[owner])
 

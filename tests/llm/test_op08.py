@@ -37,3 +37,14 @@ def test_query(spark, tmp_path):
     assert out == sorted(((p, u, t, len(t)) for (p, u, _), t in zip(rows, texts)), key=str)
     spark.createDataFrame([], "page_id long, url string, html string").write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
     assert op.query(spark, str(tmp_path)).collect() == []
+
+
+BODY = f"<p>{LONG * 3}</p>" * 4
+
+
+@pytest.mark.parametrize("wrap", ["<div class=body>{}</div>", "<section>{}</section>", "<ul><li>{}</ul>", "<table><tr><td>{}</table>", "<div><pre>{}</pre></div>"])
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_no_block_of_the_article_is_left_out(wrap, outer):
+    held = BODY if "pre" not in wrap else LONG * 12
+    got = op.extract(f"<body><{outer}><h1>Title</h1><p class=lead>A lead.</p>{wrap.format(held)}<p class=end>The end</p></{outer}><footer>x</footer>")
+    assert got == "\n".join(["Title", "A lead.", *([(LONG * 3).strip()] * 4 if held == BODY else [(LONG * 12).strip()]), "The end"])
