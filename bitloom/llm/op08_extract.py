@@ -8,7 +8,9 @@ compared with a threshold from its own spread; paths whose blocks pass carry con
 article is the article or main element around most of their text; without one the smallest
 element that holds all of them, but for blocks that pass by their neighbours only, and the
 top headings. Every block in it that doesn't stand in a menu, header, footer, sidebar, notice, advert, form, script, style or
-comments is returned, in page order and unshortened.
+comments is returned, in page order and unshortened. Names (class, id, role) tell most of
+these, as whole words; an element around the only article, or a sidebar or the like around
+most of the page's text, isn't excluded by its name.
 
 Null and empty pages, and pages without text, give the empty text. Unclosed and
 stray tags, comments, quotes and character references are read as far as they go.
@@ -20,6 +22,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +37,22 @@ HELD = 0.85
 SMOOTHING = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|>|->|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?""")
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
 _GONE = frozenset("nav aside footer form script style noscript template select button iframe svg math head title object canvas dialog menu textarea noembed noframes xmp audio video".split())
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertis\w*|adsense|adsbygoogle|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|aside|menu\w*|nav|navbar|navigation|breadcrumb\w*|comment|comments|commentlist|disqus\w*|respond|replies|reply|footer|foot|header|masthead|cookie\w*|consent|notice\w*|alert|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|related\w*|recommend\w*|share|sharing|social\w*|widget\w*|toolbar|pagination|pager|complementary|contentinfo|search)(?=$|[\s_-])",
-    re.I,
+#: Parts of class, id and role names of what isn't the article: frames of the page, and what is put into or after texts.
+_FRAME = re.compile(r"sidebar\w*|side|aside|menu\w*|nav|navbar|navigation|breadcrumb\w*|footer|foot|header|masthead|notice\w*|alert|popup\w*|modal\w*|overlay|signup|login|widget\w*|toolbar|pagination|pager|complementary|contentinfo|search", re.I)
+_INSERT = re.compile(r"ad|ads|adv|advert|adverts|advertis\w*|adsense|adsbygoogle|sponsor\w*|promo\w*|banner\w*|comment|comments|commentlist|disqus\w*|respond|replies|reply|cookie\w*|consent|newsletter\w*|subscri\w*|related\w*|recommend\w*|share|sharing|social\w*", re.I)
+#: Parts that leave such a name what it is; others, as in has-sidebar or related-work, make it another.
+_PLAIN = re.compile(
+    r"\d+(?:x\d+)?|area|article|articles|bar|block|bottom|box|button|buttons|container|dropdown|entry|fixed|form|global|google|group|inline|inner|item|items|left|link|links|list|local|main|mobile|module|outer|page|policy|post|posts|primary|right|secondary|section|site|slot|sticky|tertiary|thread|title|top|unit|wrap|wrapper|zone", re.I
 )
+#: Part of a page's text outside links that no frame holds.
+MOST = 0.9
 #: A start tag ends open elements of the second kind, not beyond one of the third.
 _IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -63,9 +71,36 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, bool, str]]]:
-    """Blocks (element, text, characters in links), and elements (parent, path, excluded, tag) with element 0 the root."""
-    elements: list[tuple[int, str, bool, str]] = [(-1, "", False, "")]
+@lru_cache(1 << 14)
+def _kind(name: str, inner: bool) -> int:
+    """1 for the name of a frame, 2 for that of an insert, else 0. inner: in an article, where headers are its own."""
+    parts = [x for x in re.split("[-_]+", name) if x]
+    if inner and any(x.lower() in ("header", "masthead") for x in parts):
+        return 0
+    kinds = [2 if _INSERT.fullmatch(x) else 1 if _FRAME.fullmatch(x) else 0 for x in parts]
+    return max(kinds, default=0) if all(k or _PLAIN.fullmatch(x) for k, x in zip(kinds, parts)) else 0
+
+
+def _misnamed(elements: list[tuple[int, str, int, str]], weight: list[int], named: dict[int, int]) -> frozenset[int]:
+    """Of the elements excluded by name, those around the page's article or main, where no other stands free, and frames around most text."""
+    under, around, free = weight[:], [0] * len(elements), False
+    for k in range(len(elements) - 1, 0, -1):  # children have larger numbers
+        parent, _, gone, tag = elements[k]
+        if gone < 2 and under[k] and tag in ("article", "main"):
+            around[k] |= 1 if tag == "article" else 2
+            free |= not gone
+        under[parent] += under[k]
+        around[parent] |= around[k]
+    return frozenset(k for k, kind in named.items() if not free and (around[k] & 2 or kind == 1 and around[k]) or kind == 1 and under[k] > MOST * under[0])
+
+
+def blocks(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int, str]]]:
+    """Blocks (element, text, characters in links), and elements (parent, path, excluded, tag) with element 0 the root.
+
+    excluded is 1 by a name, of the element or one around it, and 2 by a tag. The names of kept don't count.
+    """
+    elements: list[tuple[int, str, int, str]] = [(-1, "", 0, "")]
+    weight, named = [0], {}  # characters outside links by element, and kinds by element with a bad name
     out: list[tuple[int, str, int]] = []
     stack: list[tuple[str, int]] = [("", 0)]
     text: list[str] = []
@@ -99,10 +134,15 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
 
     def add(piece: str) -> None:
         nonlocal owner, linked
-        if not piece or elements[stack[-1][1]][2]:
+        k = stack[-1][1]
+        if not piece or elements[k][2] > 1:
+            return
+        if not links:
+            weight[k] += len(piece.strip())
+        if elements[k][2]:
             return
         if not text:
-            owner = stack[-1][1]
+            owner = k
         text.append(piece)
         if links:
             linked += len(piece)
@@ -137,11 +177,19 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
         if name in _VOID or rest.endswith("/") and name in ("svg", "path"):
             continue
         parent, path, gone = stack[-1][1], elements[stack[-1][1]][1], elements[stack[-1][1]][2]
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if rest else ""
-        if not gone:
+        attributes = [(a[1].lower(), (a[2] or a[3] or a[4] or "").split()) for a in _ATTRIBUTE.finditer(rest)] if rest else []
+        attributes = [(a, v) for a, v in attributes if a in ("class", "id", "role")]
+        names = " ".join(x for _, v in attributes for x in v)
+        if gone < 2:
             inner = any(n in ("article", "main") for n, _ in stack)
-            gone = name in _GONE or (name == "header" and not inner) or bool(names and name not in ("html", "body", "main", "article") and _BAD.search(names))
+            if name in _GONE or (name == "header" and not inner):
+                gone = 2
+            elif name not in ("html", "body", "main", "article") and len(elements) not in kept:
+                if kind := max((_kind(x, inner) for a, v in attributes if a != "id" or name not in _HEADING for x in v), default=0):
+                    gone = 1
+                    named[len(elements)] = kind
         elements.append((parent, f"{path}/{name}.{names.split()[0]}" if names.strip() else f"{path}/{name}", gone, name))
+        weight.append(0)
         stack.append((name, len(elements) - 1))
         links += name == "a"
         if name in _RAW:
@@ -149,6 +197,8 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
             at = end if m is None else m.start()
     close(1)
     flush()
+    if named and not kept and (misnamed := _misnamed(elements, weight, named)):
+        return blocks(page, misnamed)
     return out, elements
 
 

@@ -48,3 +48,25 @@ def test_no_block_of_the_article_is_left_out(wrap, outer):
     held = BODY if "pre" not in wrap else LONG * 12
     got = op.extract(f"<body><{outer}><h1>Title</h1><p class=lead>A lead.</p>{wrap.format(held)}<p class=end>The end</p></{outer}><footer>x</footer>")
     assert got == "\n".join(["Title", "A lead.", *([(LONG * 3).strip()] * 4 if held == BODY else [(LONG * 12).strip()]), "The end"])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content has-sidebar'><article>{}</article></div>",
+        "<div class='layout-with-sidebar'><article>{}</article><div class='sidebar widget-area'>x, y.</div></div>",
+        "<div class='sidebar'><main>{}</main></div>",
+        "<div class='page-header'><div class=nav><div>{}</div></div></div>",
+        "<div data-id='search' title='a id=menu'><article>{}</article></div>",
+        "<article>{}</article><div class='related-posts'><article><p>No, no.</p></article></div><ol class='comment-list comments'><article><p>No.</p></article></ol>",
+    ],
+)
+def test_names_exclude_no_article(page):
+    body = f"<h1>Title</h1>{BODY}"
+    assert op.extract(page.format(body)) == "\n".join(["Title", *[(LONG * 3).strip()] * 4])
+
+
+def test_names_in_the_article():
+    inner = "<div class='entry-header'><h1>Title</h1></div><h2 id='search'>Search</h2><h2 id='search-algorithms'>Find</h2><section id='related-work'><p>Work.</p></section><p class='notice-of-meeting'>Meet.</p>"
+    bad = "<div class='cookie-notice'>no</div><div id='comments'>no</div><div class='ad-slot'>no</div><p class='site-footer'>no</p><p role='navigation'>no</p>"
+    assert op.extract(f"<article>{inner}{bad}{BODY}</article>") == "\n".join(["Title", "Search", "Find", "Work.", "Meet.", *[(LONG * 3).strip()] * 4])
