@@ -7,7 +7,9 @@ parsed is reported in a column, not dropped. The place of an entry is (file, blo
 file, place in the block), which needs no order of tasks.
 
 With whole_files, or for files that aren't UTF-8 or close entries in another way (a prefix,
-a space before >), each file is parsed whole by one task.
+a space before >, an empty tag), which a scan finds first, each file is parsed whole by one
+task: by the encoding that its first bytes or XML declaration tell, and where it isn't well
+formed, entry by entry like the others.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import os
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +33,15 @@ FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 ENTRY = "tu_id string, notes array<string>, metadata map<string,string>, segments array<struct<lang:string,text:string>>, error string"
 _XML_LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 _START = r"<(?:\w+:)?tu[\s>]"
+#: Ends of entries other than </tu>.
+_OTHER_END = r"</tu\s+>|</[\w.-]+:tu\s*>|<(?:[\w.-]+:)?tu(?:\s[^<>]*)?/>"
+_ENTRY = r"<((?:[\w.-]+:)?tu)(?:\s[^<>]*)?(?:/>|(?<!/)>.*?(?:</\1\s*>|\Z)|\Z)"
+_DECLARED = r"""^\s*<\?xml[^>]*?\sencoding\s*=\s*["']([\w.:-]+)"""
+#: Starts of files in UTF-16 and UTF-32, in hexadecimal, with a mark or a first < or blank; the longer ones come first.
+_WIDE = {"FFFE0000": "utf-32", "0000FEFF": "utf-32", "3C000000": "utf-32-le", "0000003C": "utf-32-be", "FFFE": "utf-16", "FEFF": "utf-16", "3C00": "utf-16-le", "003C": "utf-16-be", "0A00": "utf-16-le", "000A": "utf-16-be", "2000": "utf-16-le", "0020": "utf-16-be", "0D00": "utf-16-le", "000D": "utf-16-be"}
+#: As a declaration in one of these can't be read as bytes, it is wrong where it can.
+_WIDE_NAMES = "^(?:utf-?16|utf-?32|ucs-|iso-10646)"
+_UTF8 = ("utf-8", "utf8", "us-ascii", "ascii")
 
 
 def _name(element) -> str:
@@ -89,6 +101,26 @@ def _parse(fragment: str, header_lang: str | None, keep_tags: bool) -> tuple:
         return None, [], {}, [], f"{e}: {fragment[:200]}"
 
 
+def _decode(raw: bytes, errors: str = "replace") -> str:
+    """A file's text by its byte order mark, first bytes or XML declaration, else UTF-8. An encoding that isn't known fails."""
+    start = raw[:4].hex().upper()
+    name = next((x for mark, x in _WIDE.items() if start.startswith(mark)), "")
+    if not name:
+        found = re.match(_DECLARED.encode(), raw[:1024])
+        name = found.group(1).decode().lower() if found else "utf-8"
+        if name in _UTF8 or re.match(_WIDE_NAMES, name):
+            name = "utf-8-sig"
+    return raw.decode(name, errors).removeprefix("\ufeff")
+
+
+def _odd(spark: SparkSession, path: str) -> bool:
+    """Whether a file of the path isn't UTF-8, or closes an entry in another way than </tu>."""
+    text = spark.read.option("lineSep", "</tu>").text(path).select("value", F.hex(F.substring(F.col("value").cast("binary"), 1, 4)).alias("start"), F.lower(F.regexp_extract("value", _DECLARED, 1)).alias("encoding"))
+    wide = F.col("start").rlike(f"^(?:{'|'.join(_WIDE)})") & F.col("value").contains("\0") | F.col("start").rlike("^(?:FFFE|FEFF)")
+    named = (F.col("encoding") != "") & ~F.col("encoding").isin(*_UTF8) & ~F.col("encoding").rlike(_WIDE_NAMES)
+    return not text.where(wide | named | F.col("value").rlike(_OTHER_END)).isEmpty()
+
+
 def discover(pattern: str, base: str = "") -> list[str]:
     """Paths for a pattern with * or ?, or the path itself if it is there."""
     at = os.path.join(base, pattern)
@@ -108,10 +140,14 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
 def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """A row a file: file_index, source_lang, creation_tool, creation_date, seg_type, admin_lang, properties.
 
-    A file without a header has nulls. Only what stands before a file's first entry is parsed.
+    A file without a header has nulls. Only what stands before a file's first entry is parsed, of a file that isn't UTF-8 after reading it whole.
     """
-    schema = "file_index int, source_lang string, creation_tool string, creation_date string, seg_type string, admin_lang string, properties map<string,string>"
     paths = _paths(paths)
+    return _headers(spark, paths, [_odd(spark, p) for p in paths])
+
+
+def _headers(spark: SparkSession, paths: Sequence[str], odd: Sequence[bool]) -> DataFrame:
+    schema = "file_index int, source_lang string, creation_tool string, creation_date string, seg_type string, admin_lang string, properties map<string,string>"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -131,9 +167,16 @@ def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
                 rows.append((k, lang.upper() if lang else None, get("creationtool"), get("creationdate"), get("segtype"), get("adminlang"), properties))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
+    @F.pandas_udf("string")
+    def before(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda x: re.split(_START, _decode(bytes(x)), maxsplit=1)[0])
+
     out = None
     for k, p in enumerate(paths):
-        head = spark.read.option("lineSep", "</tu>").text(p).limit(1).select(F.lit(k).alias("file_index"), F.regexp_replace("value", FORBIDDEN, "").alias("value"))
+        if odd[k]:
+            head = spark.read.format("binaryFile").load(p).limit(1).select(F.lit(k).alias("file_index"), F.regexp_replace(before("content"), FORBIDDEN, "").alias("value"))
+        else:
+            head = spark.read.option("lineSep", "</tu>").text(p).limit(1).select(F.lit(k).alias("file_index"), F.regexp_replace("value", FORBIDDEN, "").alias("value"))
         every = spark.range(1).select(F.lit(k).alias("file_index")).join(head, "file_index", "left")
         out = every if out is None else out.unionByName(every)
     return out.mapInPandas(scan, schema)
@@ -147,7 +190,7 @@ def entries(spark: SparkSession, paths: str | Sequence[str], keep_tags: bool = F
     paths = _paths(paths)
     parts = []
     for k, p in enumerate(paths):
-        rows = _whole(spark, p, keep_tags, strict) if whole_files or strict else _chunks(spark, p, keep_tags)
+        rows = _whole(spark, p, keep_tags, strict) if whole_files or strict or _odd(spark, p) else _chunks(spark, p, keep_tags)
         parts.append(rows.withColumn("ordinal", F.lit(k).cast("long") * (1 << 40) + F.col("ordinal")))
     out = parts[0]
     for part in parts[1:]:
@@ -156,7 +199,7 @@ def entries(spark: SparkSession, paths: str | Sequence[str], keep_tags: bool = F
 
 
 def _chunks(spark: SparkSession, path: str, keep_tags: bool) -> DataFrame:
-    header = headers(spark, path).select(F.col("source_lang").alias("header_lang"))
+    header = _headers(spark, [path], [False]).select(F.col("source_lang").alias("header_lang"))
     text = spark.read.option("lineSep", "</tu>").text(path)
     scan = text.select(F.monotonically_increasing_id().alias("mid"), F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), "value")
     found = scan.withColumn("value", F.regexp_extract("value", f"(?s){_START}.*\\z", 0)).where("value <> ''")
@@ -179,30 +222,46 @@ def _chunks(spark: SparkSession, path: str, keep_tags: bool) -> DataFrame:
 def _whole(spark: SparkSession, path: str, keep_tags: bool, strict: bool) -> DataFrame:
     schema = f"ordinal long, file_id string, header_lang string, repaired int, {ENTRY}"
 
+    def events(text: str) -> Iterator[tuple]:
+        parser = ET.XMLPullParser(("start", "end"), _parser=ET.XMLParser(encoding="utf-8"))
+        raw = text.encode()
+        for at in range(0, len(raw), 1 << 20):
+            parser.feed(raw[at : at + (1 << 20)])
+            yield from parser.read_events()
+        parser.close()
+        yield from parser.read_events()
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
-                raw = bytes(content)
-                wide = raw[:2] in (b"\xff\xfe", b"\xfe\xff")
-                repaired = 0 if wide or strict else len(re.findall(FORBIDDEN.encode(), raw))
-                parser = ET.XMLPullParser(("start", "end"))
-                parser.feed(raw if wide or strict else re.sub(FORBIDDEN.encode(), b"", raw))
+                text = _decode(bytes(content), "strict" if strict else "replace")
+                repaired = 0 if strict else len(re.findall(FORBIDDEN, text))
+                text = text if strict else re.sub(FORBIDDEN, "", text)
                 lang, rows, n, open_ = None, [], 0, []
-                for event, e in parser.read_events():
-                    if event == "start":
-                        open_.append(_name(e))
-                        continue
-                    open_.pop()
-                    if _name(e) == "header":
-                        lang = (e.get("srclang") or "").upper() or None
-                    elif _name(e) == "tu" and (not strict or open_[-1:] == ["body"]):
-                        rows.append((n, name, lang, repaired if n == 0 else 0, *entry(e, lang, keep_tags), None))
+                try:
+                    for event, e in events(text):
+                        if event == "start":
+                            open_.append(_name(e))
+                            continue
+                        open_.pop()
+                        if _name(e) == "header":
+                            lang = (e.get("srclang") or "").upper() or None
+                        elif _name(e) == "tu" and (not strict or open_[-1:] == ["body"]):
+                            rows.append((n, name, lang, repaired if n == 0 else 0, *entry(e, lang, keep_tags), None))
+                            n += 1
+                            e.clear()
+                        if len(rows) == 5000:
+                            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                            rows = []
+                except ET.ParseError:
+                    if strict:
+                        raise
+                    for m in islice(re.finditer(_ENTRY, text, re.S), n, None):
+                        rows.append((n, name, lang, repaired if n == 0 else 0, *_parse(m.group(0), lang, keep_tags)))
                         n += 1
-                        e.clear()
-                    if len(rows) == 5000:
-                        yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-                        rows = []
-                parser.close()
+                        if len(rows) == 5000:
+                            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                            rows = []
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, schema)

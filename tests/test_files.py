@@ -148,3 +148,33 @@ def test_stream(spark, sample, tmp_path):
     assert spark.read.json(f"{tmp_path}/out").count() == 7
     with pytest.raises(ValueError):
         streaming.start(u, "x", "y", "csv")
+
+
+@pytest.mark.parametrize("encoding", ["UTF-16", "UTF-16-LE", "ISO-8859-1", "windows-1251"])
+def test_encodings_are_found(spark, tmp_path, encoding):
+    text = {"ISO-8859-1": "é ü"}.get(encoding, "я ж")
+    plain = save(tmp_path / "p.tmx", *(tu(("en", f"a {k}"), ("bg", f"{text} {k}"), attributes=f'tuid="{k}"') for k in range(3)))
+    path = tmp_path / "e.tmx"
+    path.write_bytes(open(plain, encoding="utf-8").read().replace("UTF-8", encoding).encode(encoding))
+    assert pairs(tmx.read_tmx(spark, str(path))) == [(str(k), "EN", "BG", f"a {k}", f"{text} {k}") for k in range(3)]
+    assert tmx.broken(spark, str(path)).first().asDict() == {"entries": 3, "broken": 0, "repaired": 0}
+    assert tmx.headers(spark, str(path)).first().source_lang == "EN"
+
+
+@pytest.mark.parametrize("end,prefix", [("</tu >", ""), ("</x:tu>", "x:"), ("</tu\n>", "")])
+def test_other_ends_are_found(spark, tmp_path, end, prefix):
+    rows = [tu(("en", f"a {k}"), ("bg", f"b\x0b {k}"), attributes=f'tuid="{k}"') for k in range(4)]
+    rows[1:3] = [x.replace("</tu>", end).replace("<tu ", f"<{prefix}tu ") for x in rows[1:3]]
+    want = [(str(k), "EN", "BG", f"a {k}", f"b {k}") for k in range(4)]
+    path = save(tmp_path / "e.tmx", *rows, root=' xmlns:x="urn:x"')
+    assert pairs(tmx.read_tmx(spark, path)) == want
+    assert tmx.broken(spark, path).first().asDict() == {"entries": 4, "broken": 0, "repaired": 4}
+    rows[2] = rows[2].replace("b\x0b", "&nope;")
+    path = save(tmp_path / "f.tmx", *rows, root=' xmlns:x="urn:x"')
+    assert pairs(tmx.read_tmx(spark, path)) == want[:2] + want[3:]
+    assert tmx.broken(spark, path).first().asDict() == {"entries": 4, "broken": 1, "repaired": 3}
+
+
+def test_empty_entries_take_no_other_along(spark, tmp_path):
+    path = save(tmp_path / "e.tmx", "<tu tuid='0'/>", tu(("en", "a"), ("bg", "b"), attributes='tuid="1"'))
+    assert pairs(tmx.read_tmx(spark, path)) == [("0", None, None, "", ""), ("1", "EN", "BG", "a", "b")]
