@@ -6,7 +6,7 @@ weights for label pairs. Viterbi decoding labels a document's lines; a document
 if lines of content hold SHARE of its words or more, and it passes the base rules.
 
 labels.quality marks documents, not lines. Training takes at most SAMPLE labelled
-documents, those of the smallest hashes, with at most SAMPLE_LINES lines of each. Lines of
+documents, those of the smallest hashes, with all their lines. Lines of
 good documents are content. A line of a bad document is first labelled by the odds of its
 bins in bad against good documents; the field is fitted to that by its likelihood (forward
 and backward sums), labels the bad documents' lines anew, and is fitted again. Everything
@@ -32,7 +32,6 @@ from ._spark import table
 
 SHARE = 0.5
 SAMPLE = 3000
-SAMPLE_LINES = 64
 ROUNDS = 2
 MIN_WORDS = 20
 REPEAT_WIDTH = 8
@@ -230,9 +229,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in T.slices(b.column("text")):
             _, _, found = _prepared(s)
-            first = np.searchsorted(found.row, np.arange(s.rows))
-            n = np.minimum(np.bincount(found.row, minlength=s.rows), SAMPLE_LINES)
-            flat = found.bins[T.ranges(first, n)].astype(np.uint8).tobytes()
+            n = np.bincount(found.row, minlength=s.rows)
+            flat = found.bins.astype(np.uint8).tobytes()
             at = np.append(0, np.cumsum(n)) * len(BINS)
             yield pa.RecordBatch.from_arrays([b.column("bad").slice(s.first, s.rows), pa.array([flat[x:y] for x, y in zip(at, at[1:])], pa.binary())], names=["bad", "bins"])
 

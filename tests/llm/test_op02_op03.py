@@ -129,3 +129,9 @@ def test_slices_do_not_change_results():
         assert pa.Table.from_batches(quality._judge([b], quality.NONE)).equals(whole)
     finally:
         T.SLICE_BYTES, T.slices.__defaults__ = old, (old,)
+
+
+def test_training_takes_all_lines():
+    text = "\n".join(f"Line {k} here." for k in range(200))
+    b = pa.RecordBatch.from_pydict({"bad": [True, False, False], "text": [text, "one line", None]})
+    assert [len(x) // len(quality.BINS) for y in quality._features([b]) for x in y.column("bins").to_pylist()] == [200, 1, 0]
