@@ -33,9 +33,10 @@ def all_pairs(segments: str = "segments", header: str = "header_lang") -> Column
 
 
 def expand(entries: DataFrame, multilingual: bool = False, most_pairs: int = 1 << 12) -> DataFrame:
-    """Entries as units. ordinal becomes entry * most_pairs + pair when multilingual."""
+    """Entries as units. ordinal becomes entry * most_pairs + pair when multilingual; an entry of more pairs fails."""
     rest = [c for c in entries.columns if c not in ("segments", "header_lang", "ordinal")]
     if not multilingual:
         return entries.select("ordinal", *rest, first_pair().alias("u")).select("ordinal", *rest, "u.*")
     each = entries.select("ordinal", *rest, F.posexplode(all_pairs()).alias("k", "u"))
-    return each.select((F.col("ordinal") * most_pairs + F.col("k")).alias("ordinal"), *rest, "u.*")
+    k = F.when(F.col("k") < most_pairs, F.col("k").cast("long")).otherwise(F.raise_error(F.lit(f"an entry has more than {most_pairs} pairs")).cast("long"))
+    return each.select((F.col("ordinal") * most_pairs + k).alias("ordinal"), *rest, "u.*")

@@ -224,3 +224,13 @@ def test_expansion(spark):
     assert plain == [("BG", "EN", "b", "e"), ("EN", "BG", "e", "b"), ("EN", "EN", "", "e"), (None, None, "", ""), (None, None, "", "")]
     full = texts(expand.expand(e, multilingual=True), "source_lang", "target_lang")
     assert full[:6] == [("EN", "BG"), ("EN", "DE"), ("BG", "EN"), ("BG", "DE"), ("DE", "EN"), ("DE", "BG")] and full[6:] == [x[:2] for x in plain[1:]]
+
+
+def test_more_pairs_than_ordinals_fail(spark):
+    for n in (64, 65):
+        e = spark.createDataFrame([(k, "EN", [(f"L{i:02}", "x") for i in range(n)]) for k in range(2)], "ordinal long, header_lang string, segments array<struct<lang:string,text:string>>")
+        if n == 64:
+            assert expand.expand(e, multilingual=True).select("ordinal").distinct().count() == 2 * 64 * 63
+        else:
+            with pytest.raises(Exception, match="more than 4096 pairs"):
+                expand.expand(e, multilingual=True).collect()
