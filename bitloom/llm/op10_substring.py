@@ -1,7 +1,7 @@
 """Substring dedup by recompression.
 
-Every text is parsed bottom-up. A round first replaces runs of one symbol, then
-pairs whose left symbol is of the round's left class and whose right symbol is
+Every text is parsed bottom-up. The first round replaces runs of one word (RUNS), and
+each round pairs, up to a span of words (CAPS), whose left symbol is of the round's left class and whose right symbol is
 of its right class, by new symbols. A new symbol's name is a 64-bit hash of what
 it replaces, and classes are bits of names: names are global with no shuffle, so
 equal substrings get equal symbols, up to some at either end. Each symbol keeps
