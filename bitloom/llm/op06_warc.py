@@ -3,9 +3,10 @@
 write() finds equal payloads by their SHA-1 (partial aggregation by digest, then a join
 that splits skewed digests), writes one response for the smallest page_id of each and
 revisits for the others, a WARC/1.1 record and a Zstandard frame each. The dictionary is
-trained on about SAMPLE payloads, the share of the digests that is smallest, and stands in a leading
-skippable frame of every archive, so an archive can be read by itself. A task writes its
-archives under final names once complete; a task that runs again replaces them by equals.
+trained on whole records of about SAMPLE digests, the share of them that is smallest, one
+record each and SAMPLE_BYTES of payloads in all at most, and stands in a leading skippable
+frame of every archive, so an archive can be read by itself. A task writes its archives
+under final names once complete; a task that runs again replaces them by equals.
 read() streams archives back, record by record, and verifies every payload's digest.
 
 A null html is an empty payload. A null page_id is larger than any other; rows that repeat
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _files
@@ -33,7 +34,7 @@ from ._spark import new_path, table, written
 
 MAGIC = 0x184D2A5D
 SAMPLE = 1500
-SAMPLE_CHARS = 16 << 10
+SAMPLE_BYTES = 24 << 20
 DICTIONARY_BYTES = 110 << 10
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
@@ -96,14 +97,16 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, level: int = LEVEL
     """Writes the archives; result: archive, records and plain_bytes of each."""
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.unhex(F.sha1(html)).alias("digest"))
-    firsts = written(keyed.groupBy("digest").agg(F.min("page_id").alias("first")), "op6-firsts")
+    firsts = written(keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.max(F.octet_length("html")).cast("long").alias("size")), "op6-firsts")
     share = min(1.0, SAMPLE / max(1, firsts.count()))
     few = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("double") < share * 2**32
-    some = keyed.where(few).select(F.substring("html", 1, SAMPLE_CHARS).alias("start")).limit(2 * SAMPLE).collect()
-    given = dictionary([x.start.encode() for x in some if x.start])
+    sized = firsts.where(few & (F.col("size") <= SAMPLE_BYTES)).withColumn("upto", F.sum("size").over(Window.orderBy("digest")))
+    chosen = keyed.join(F.broadcast(sized.where(F.col("upto") <= SAMPLE_BYTES)), "digest")
+    some = chosen.groupBy("digest", "first").agg(F.min(F.struct("page_id", "url", "html")).alias("p")).collect()
+    given = dictionary([record(x.p.page_id, x.p.url, x.p.html.encode(), x.first, False) for x in sorted(some, key=lambda x: x.digest)])
     large = F.octet_length("html") >= min_revisit
     revisit = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = keyed.join(firsts, "digest").select("page_id", "url", "html", "first", revisit.alias("revisit"))
+    rows = keyed.join(firsts.drop("size"), "digest").select("page_id", "url", "html", "first", revisit.alias("revisit"))
     return written(rows.mapInArrow(lambda batches: _write(batches, folder, given, level, archive_bytes), "archive string, records long, plain_bytes long"), "op6-archives")
 
 

@@ -98,3 +98,12 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op06_warc.query(spark, str(tmp_path)).collect() == []
     assert op05_shard.query(spark, str(tmp_path)).collect() == []
+
+
+def test_dictionary_learns_whole_records_of_different_payloads(spark, tmp_path, monkeypatch):
+    rows = [(k, f"http://x.org/{k}", "same" if k % 3 else f"{k} " + "long " * 5000) for k in range(60)]
+    seen = []
+    monkeypatch.setattr(op06_warc, "dictionary", lambda samples: seen.extend(samples) or b"")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    op06_warc.write(spark, pages, f"file://{tmp_path}/warc")
+    assert sorted(seen) == sorted(op06_warc.record(p, u, h.encode(), p, False) for p, u, h in rows if p % 3 == 0 or p == 1)
