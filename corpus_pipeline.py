@@ -4,7 +4,8 @@
 2. SimHash near-dedup: the smallest doc_id of each group stays.
 3. substring dedup: words of repeated passages go; of a document that loses some the rest,
    joined by one space, is the text, and a document that loses all goes.
-4. benchmark decontamination: contaminated documents go.
+4. benchmark decontamination: documents of which benchmark windows cover a twentieth go, and
+   all others lose the words that such windows cover: none occurs in what stays.
 5. packing: a row for each piece of a document in a sequence.
 
 All stages but the last return the columns of documents.
@@ -33,7 +34,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op09_decontaminate.drop_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
+    return op09_decontaminate.decontaminate(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
