@@ -14,15 +14,16 @@ from ..schema import blank
 _DOLLAR, _SQUARE, _CURLY, _TAG = r"\$\{[^}]+\}", r"\[[^\]]+\]", r"\{[^{}]+\}", "<[^>]+>"
 _PRINTF = r"%(?:[0-9]+\$)?[A-Za-z]"
 #: In the order in which they are tried at a place.
-TOKENS = "|".join([_CURLY, _SQUARE, _PRINTF, _DOLLAR])
-PLACEHOLDERS = "|".join([_CURLY, _SQUARE, _TAG, _PRINTF, _DOLLAR])
-CONTROL = "[" + r"\x00-\x08" + r"\x0B\x0C" + r"\x0E-\x1F" + r"\x7F]"
-URL = r"(?iU)" + "|".join([r"https?://\S+", r"www\.\S+", r"ftp://\S+"])
-EMAIL = "@".join(["[%s]+" % r"a-zA-Z0-9._%+\-", "[%s]+" % r"a-zA-Z0-9.\-"]) + r"\.[A-Za-z]{2,}"
-_GAP, _FEW = r"[.\s\-]?", r"\d{3,4}"
-PHONE = "(?U)" + rf"(?:\+?\d{{1,3}}{_GAP})?" + r"\(?\d{2,4}\)?" + _GAP + _FEW + _GAP + _FEW
-CARD = r"(?U)\b" + r"(?:\d[\- ]*?){13,16}" + r"\b"
-IBAN = r"(?iU)\b" + "[A-Z]{2}" + r"\d{2}" + "[A-Z0-9]{11,30}" + r"\b"
+TOKENS = f"{_CURLY}|{_SQUARE}|{_PRINTF}|{_DOLLAR}"
+PLACEHOLDERS = f"{_CURLY}|{_SQUARE}|{_TAG}|{_PRINTF}|{_DOLLAR}"
+#: What a tag or placeholder begins with.
+_MARKED = r"[{\[%$<]"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+URL = r"(?iU)https?://\S+|www\.\S+|ftp://\S+"
+EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[A-Za-z]{2,}"
+PHONE = r"(?U)(?:\+?\d{1,3}[.\s\-]?)?\(?\d{2,4}\)?[.\s\-]?\d{3,4}[.\s\-]?\d{3,4}"
+CARD = r"(?U)\b(?:\d[\- ]*?){13,16}\b"
+IBAN = r"(?iU)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"
 
 
 def keep_tokens_of_tags(c: Column) -> Column:
@@ -46,18 +47,27 @@ def mask_pii(c: Column, mask: str) -> Column:
     return c
 
 
-def clean_text(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
+def _stripped(c: Column, cfg: CleanConfig) -> Column:
     c = F.coalesce(c, F.lit(""))
-    if cfg.strip_whitespace:
-        c = T.strip(c)
+    return T.strip(c) if cfg.strip_whitespace else c
+
+
+def _normal(c: Column, cfg: CleanConfig) -> Column:
+    """Unicode form and control characters, of a stripped text."""
     if cfg.normalize_unicode:
         c = T.unicode_form(c, cfg.unicode_form)
-    if cfg.remove_control_chars:
-        c = F.regexp_replace(c, CONTROL, "")
+    return F.regexp_replace(c, CONTROL, "") if cfg.remove_control_chars else c
+
+
+def _finished(c: Column, cfg: CleanConfig) -> Column:
+    """All other steps, of a normal text."""
+    given = c
     if cfg.remove_html_tags:
         c = keep_tokens_of_tags(c) if cfg.preserve_placeholders else F.regexp_replace(c, _TAG, " ")
     if cfg.remove_placeholder_tags and not cfg.preserve_placeholders:
         c = F.regexp_replace(c, PLACEHOLDERS, " ")
+    if c is not given:
+        c = F.when(given.rlike(_MARKED), c).otherwise(given)
     if cfg.remove_urls:
         c = F.regexp_replace(c, URL, " ")
     if cfg.remove_emails:
@@ -73,6 +83,18 @@ def clean_text(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
     return c
 
 
+def clean_text(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
+    return _finished(_normal(_stripped(c, cfg), cfg), cfg)
+
+
+def stepwise(df: DataFrame, cfg: CleanConfig, columns: Sequence[str] = ("source_text", "target_text"), steps: Sequence[Callable[[Column, CleanConfig], Column]] = (_stripped, _normal, _finished)) -> DataFrame:
+    """df with cleaned columns. Each step goes through a generator: what later ones use more than once is computed once, and no filter moves below."""
+    for step in steps:
+        done = F.struct(*(step(F.col(c), cfg).alias(c) for c in columns))
+        df = df.select(*(c for c in df.columns if c not in columns), F.explode(F.array(done)).alias("cleaned__")).select(*(F.col(f"cleaned__.{c}") if c in columns else c for c in df.columns))
+    return df
+
+
 def in_pairs(pairs: Sequence[str], source: str = "source_lang", target: str = "target_lang") -> Column:
     """The languages are one of the pairs, whatever their case; no pairs: all pass."""
     if not pairs:
@@ -81,10 +103,10 @@ def in_pairs(pairs: Sequence[str], source: str = "source_lang", target: str = "t
     return F.concat(code(source), F.lit("-"), code(target)).isin([p.upper() for p in pairs])
 
 
-def untranslated() -> Column:
-    """The texts are equal but for case and outer space, though the languages differ."""
+def untranslated(stripped: bool = False) -> Column:
+    """The texts are equal but for case and outer space, which they may be rid of, though the languages differ."""
     lang = lambda c: F.substring(F.lower(F.col(c)), 1, 2)
-    bare = lambda c: F.lower(T.strip(F.col(c)))
+    bare = lambda c: F.lower(F.col(c) if stripped else T.strip(F.col(c)))
     return ~(blank("source_lang") | blank("target_lang")) & (lang("source_lang") != lang("target_lang")) & (bare("source_text") == bare("target_text"))
 
 
@@ -110,11 +132,10 @@ def clean(units: DataFrame, cfg: CleanConfig = CleanConfig(), detector: Callable
     detector maps a text to a language code; it is asked only with cfg.lang_detect, and a null answer lets a unit pass.
     """
     df = units.where(~blank("source_text") & ~blank("target_text")).where(in_pairs(cfg.language_pairs))
+    df = stepwise(df, cfg, steps=[_stripped])
     if cfg.remove_untranslated:
-        df = df.where(~untranslated())
-    # through a generator: filters on cleaned texts must not be moved below it, where each would clean anew
-    texts = F.struct(*(clean_text(F.col(c), cfg).alias(c) for c in ("source_text", "target_text")))
-    df = df.select(*(c for c in units.columns if c not in ("source_text", "target_text")), F.explode(F.array(texts)).alias("cleaned__")).select(*(F.col(f"cleaned__.{c}") if c in ("source_text", "target_text") else c for c in units.columns))
+        df = df.where(~untranslated(cfg.strip_whitespace))
+    df = stepwise(df, cfg, steps=[_normal, _finished])
     df = df.where((F.col("source_text") != "") & (F.col("target_text") != "")).where(within_limits(F.col("source_text"), F.col("target_text"), cfg))
     if cfg.lang_detect and detector is not None:
         for lang, c in (("source_lang", "source_text"), ("target_lang", "target_text")):

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import minhash
 from ..functions import text as T
 from ..scratch import drop, written
 
@@ -42,10 +43,11 @@ def dedupe_exact(units: DataFrame, case_sensitive: bool = True, within: Sequence
 
 
 def renumbered(parts: Sequence[DataFrame]) -> DataFrame:
-    """Corpora one after the other, their ordinals apart by the position in parts."""
-    out = None
+    """Corpora one after the other, their ordinals apart by the position in parts; an ordinal that doesn't fit fails."""
+    out, own = None, F.col("ordinal")
+    fits = F.when((own >= 0) & (own < 1 << 48), own).otherwise(F.raise_error(F.lit("an ordinal is not below 2**48")).cast("long"))
     for k, part in enumerate(parts):
-        part = part.withColumn("ordinal", F.lit(k).cast("long") * (1 << 48) + F.col("ordinal"))
+        part = part.withColumn("ordinal", F.lit(k).cast("long") * (1 << 48) + fits)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -79,16 +81,42 @@ def classes(units: DataFrame) -> DataFrame:
     return keyed.join(reps, "k").select("ordinal", "rep")
 
 
-def near_pairs(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_pairs(units: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(a, b, source_jaccard, target_jaccard), a < b: representatives of classes of which both sides agree to threshold.
 
-    Candidates come from an exact prefix filter, so no pair is missed: two sets with Jaccard t
-    or more share one of their size - ceil(t * size) + 1 globally rarest trigrams, and the first
-    they share stands early enough in both. The join's key also has the range of sizes that t allows.
+    Candidates share a band of MinHash values of their source trigrams, and each is verified by its
+    trigrams: no pair is wrong, and 99.8 in 100 of those at the threshold, more of those above, are
+    expected to be found (functions/minhash.py). With exact none is missed, by a join on rare
+    trigrams, whose work grows as the square of a corpus in which most trigrams are common.
     """
     reps = classes(units).where("ordinal = rep").select("ordinal")
-    sides = units.join(reps, "ordinal", "left_semi").select("ordinal", trigrams(side_text("source_lang", "source_text")).alias("s"), trigrams(side_text("target_lang", "target_text")).alias("t"))
+    sides = units.join(reps, "ordinal", "left_semi").select("ordinal", side_text("source_lang", "source_text").alias("text"), trigrams(side_text("source_lang", "source_text")).alias("s"), trigrams(side_text("target_lang", "target_text")).alias("t"))
     sides = written(sides.withColumn("n", F.size("s")).withColumn("m", F.size("t")), "fuzzy-sides")
+    found = _rare_candidates(sides, threshold) if exact else _banded_candidates(sides, threshold)
+    a = sides.select(F.col("ordinal").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"))
+    b = sides.select(F.col("ordinal").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"))
+    scored = found.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("source_jaccard"), jaccard(F.col("ta"), F.col("tb")).alias("target_jaccard"))
+    return scored.where((F.col("source_jaccard") >= threshold) & (F.col("target_jaccard") >= threshold))
+
+
+def _alike(x: str, y: str, threshold: float) -> Column:
+    """Sizes of which the smaller may be the threshold of the larger."""
+    return F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9
+
+
+def _banded_candidates(sides: DataFrame, threshold: float) -> DataFrame:
+    size = minhash.rows_of(threshold)
+    signed = sides.select("ordinal", "text").mapInArrow(lambda batches: minhash.band_rows(batches, size), "ordinal long, bands array<long>")
+    rows = written(signed.join(sides.select("ordinal", "n", "m"), "ordinal").select("ordinal", "n", "m", F.posexplode("bands").alias("k", "band")), "fuzzy-bands")
+    side = lambda x: rows.select(F.col("ordinal").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), "k", "band")
+    met = side("a").join(side("b"), ["k", "band"]).where("a < b").where(_alike("na", "nb", threshold) & _alike("ma", "mb", threshold))
+    return met.select("a", "b").distinct()
+
+
+def _rare_candidates(sides: DataFrame, threshold: float) -> DataFrame:
+    """Two sets with Jaccard t or more share one of their size - ceil(t * size) + 1 globally rarest trigrams, and the first
+    they share stands early enough in both. The join's key also has the range of sizes that t allows.
+    """
     tokens = sides.select("ordinal", "n", "m", F.explode("s").alias("g"))
     rarity = tokens.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     listed = tokens.join(rarity, "g").groupBy("ordinal", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
@@ -99,15 +127,11 @@ def near_pairs(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     near = F.array(*(band + k for k in ((-1, 0, 1) if threshold < 1 else (0,))))
     left = prefix.select(F.col("ordinal").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("k").alias("ka"), "g", F.explode(near).alias("band"))
     right = prefix.select(F.col("ordinal").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("k").alias("kb"), "g", band.alias("band"))
-    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9
     # at the rarest trigram that both have, no more can be common than either has from there on
     most = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
     enough = most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
-    found = left.join(right, ["g", "band"]).where("a < b").where(alike("na", "nb") & alike("ma", "mb") & enough).select("a", "b").distinct()
-    a = sides.select(F.col("ordinal").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"))
-    b = sides.select(F.col("ordinal").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"))
-    scored = found.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("source_jaccard"), jaccard(F.col("ta"), F.col("tb")).alias("target_jaccard"))
-    return scored.where((F.col("source_jaccard") >= threshold) & (F.col("target_jaccard") >= threshold))
+    met = left.join(right, ["g", "band"]).where("a < b").where(_alike("na", "nb", threshold) & _alike("ma", "mb", threshold) & enough)
+    return met.select("a", "b").distinct()
 
 
 def greedy_removed(pairs: DataFrame) -> DataFrame:
@@ -130,11 +154,11 @@ def greedy_removed(pairs: DataFrame) -> DataFrame:
     return gone
 
 
-def dedupe_fuzzy(units: DataFrame, threshold: float | None = None) -> DataFrame:
-    """A unit stays unless an earlier unit that stays resembles it on both sides. 0 and None: THRESHOLD."""
+def dedupe_fuzzy(units: DataFrame, threshold: float | None = None, exact: bool = False) -> DataFrame:
+    """A unit stays unless an earlier unit that stays resembles it on both sides. 0 and None: THRESHOLD; exact: of near_pairs()."""
     threshold = threshold or THRESHOLD
     copies = classes(units).where("ordinal <> rep").select("ordinal")
-    gone = copies.unionByName(greedy_removed(near_pairs(units, threshold)))
+    gone = copies.unionByName(greedy_removed(near_pairs(units, threshold, exact)))
     return units.join(gone, "ordinal", "left_anti").select(units.columns)
 
 

@@ -11,13 +11,16 @@ from ..config import ConvertOptions, OutputFormat
 from ..schema import blank
 from .clean import in_pairs
 
-_ASK = " ".join(["Translate the following text", "from {src} to {tgt}."])
+_ASK = "Translate the following text from {src} to {tgt}."
 DEFAULTS = {
     OutputFormat.PROMPT_COMPLETION: "Translate from {src} to {tgt}:",
     OutputFormat.REASONING: f"{_ASK} Show your reasoning.",
-    OutputFormat.SHAREGPT: " ".join(["You are a professional translator.", "Translate text from {src} to {tgt}."]),
+    OutputFormat.SHAREGPT: "You are a professional translator. Translate text from {src} to {tgt}.",
 }
 
+#: Formats of plain records: the texts under their keys.
+STANDARD = (OutputFormat.CSV, OutputFormat.HF_DATASET, OutputFormat.JSON, OutputFormat.JSONL, OutputFormat.PARQUET, OutputFormat.TSV)
+
 
 def render(template: str) -> Column:
     """The template with language names put in; a template that asks for anything else stays as it is."""
@@ -39,8 +42,8 @@ def render(template: str) -> Column:
 
 def rejected(opts: ConvertOptions) -> Column:
     """A worse answer than the target text. Random modes draw from the seed and the ordinal, so reruns agree."""
-    t, seed = F.col("target_text"), F.lit(opts.rejected_seed)
-    draw = lambda i, what: F.pmod(F.xxhash64(seed, F.col("ordinal"), i, F.lit(what)), F.lit(1 << 31))
+    t, seed = F.col("target_text"), F.lit(str(opts.rejected_seed))
+    draw = lambda i, what: F.conv(F.substring(F.md5(F.concat_ws(":", seed, F.col("ordinal").cast("string"), i.cast("string"), F.lit(what))), 1, 8), 16, 10).cast("long")
     words = F.filter(F.split(t, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
     if opts.rejected_mode == "copy_source":
         return F.col("source_text")

@@ -42,8 +42,8 @@ def _text(c: str) -> Column:
 
 
 def noise_ratio(c: Column) -> Column:
-    """The share of characters that aren't letters; kept as 1 - x / y, on which the limit's rounding depends."""
-    return F.lit(1.0) - T.count_of(c, T.LETTER).cast("double") / F.length(c)
+    """The share of characters that aren't letters, null for the empty text; kept as 1 - x / y, on which the limit's rounding depends."""
+    return F.lit(1.0) - F.try_divide(T.count_of(c, T.LETTER).cast("double"), F.length(c))
 
 
 def numbers(c: Column) -> Column:
@@ -51,11 +51,14 @@ def numbers(c: Column) -> Column:
 
 
 def number_mismatch(source: Column | None = None, target: Column | None = None) -> Column:
-    """0 where both texts have the same numbers in the same order, to 1."""
+    """0 where both texts have the same numbers in the same order, to 1. One pass over both texts' numbers, sorted."""
     a = numbers(_text("source_text") if source is None else source)
     b = numbers(_text("target_text") if target is None else target)
-    times = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    apart = F.aggregate(F.array_union(a, b), F.lit(0), lambda s, v: s + F.abs(times(a, v) - times(b, v)))
+    each = lambda xs, by: F.transform(xs, lambda x: F.struct(x.alias("v"), F.lit(by).alias("by")))
+    state = lambda v, n, apart: F.struct(v.alias("v"), n.alias("n"), apart.alias("apart"))
+    same = lambda s, x: s["v"].eqNullSafe(x["v"])
+    add = lambda s, x: state(x["v"], F.when(same(s, x), s["n"] + x["by"]).otherwise(x["by"]), F.when(same(s, x), s["apart"]).otherwise(s["apart"] + F.abs(s["n"])))
+    apart = F.aggregate(F.array_sort(F.concat(each(a, 1), each(b, -1))), state(F.lit(None).cast("string"), F.lit(0), F.lit(0)), add, lambda s: s["apart"] + F.abs(s["n"]))
     ratio = apart.cast("double") / (F.size(a) + F.size(b))
     moved = F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x).cast("double") / F.size(a)
     full = F.when(apart == 0, F.greatest(ratio, moved)).otherwise(ratio)
@@ -72,13 +75,13 @@ def wrong_script() -> Column:
     return F.substring(F.lower(_text("target_lang")), 1, 2).isin(*CYRILLIC_LANGUAGES) & (latin > cyrillic) & (latin > 3)
 
 
-def quality_score() -> Column:
+def quality_score(mismatch: Column | None = None) -> Column:
     """0 to 100: 100 less penalties for length, numbers, copied text and script; 0 if a side is empty."""
     s, t = _text("source_text"), _text("target_text")
     ratio = T.length_ratio(s, t)
     copied = (F.lower(T.strip(s)) == F.lower(T.strip(t))) & ~F.col("source_lang").eqNullSafe(F.col("target_lang"))
     score = F.lit(100.0) - F.when(ratio > 3.0, F.least(F.lit(30.0), (ratio - 3.0) * 10)).otherwise(0.0)
-    score = score - number_mismatch() * 40.0 - F.when(copied, 50.0).otherwise(0.0) - F.when(wrong_script(), 40.0).otherwise(0.0)
+    score = score - (number_mismatch() if mismatch is None else mismatch) * 40.0 - F.when(copied, 50.0).otherwise(0.0) - F.when(wrong_script(), 40.0).otherwise(0.0)
     return F.when((s == "") | (t == ""), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
 
@@ -92,9 +95,14 @@ def _percent(c: Column) -> Column:
     return F.format_string("%.1f%%", F.bround(c * 100, 1))
 
 
-def findings(cfg: ValidationConfig = ValidationConfig()) -> tuple[Column, Column]:
-    """Errors and warnings, in the order of the rules."""
-    s, t, errors, warnings = _text("source_text"), _text("target_text"), [], []
+def measures() -> dict[str, Column]:
+    """What more than one rule or part of a finding needs, and takes time."""
+    return {"mismatch": number_mismatch(), "noise_source": noise_ratio(_text("source_text")), "noise_target": noise_ratio(_text("target_text"))}
+
+
+def findings(cfg: ValidationConfig = ValidationConfig(), measured: dict[str, Column] | None = None) -> tuple[Column, Column]:
+    """Errors and warnings, in the order of the rules. measured: columns that hold measures()."""
+    s, t, errors, warnings, m = _text("source_text"), _text("target_text"), [], [], measured or measures()
     if cfg.require_both_nonempty:
         errors += [_finding("empty_source", s == ""), _finding("empty_target", t == "")]
     if cfg.require_languages:
@@ -104,11 +112,11 @@ def findings(cfg: ValidationConfig = ValidationConfig()) -> tuple[Column, Column
         errors.append(_finding("same_text", (s != "") & (t != "") & (T.strip(s) == T.strip(t))))
     if cfg.check_noise_ratio:
         for code, c in (("noise_source", s), ("noise_target", t)):
-            warnings.append(_finding(code, (c != "") & (noise_ratio(c) > cfg.max_noise_ratio), _percent(noise_ratio(c))))
+            warnings.append(_finding(code, (c != "") & (m[code] > cfg.max_noise_ratio), _percent(m[code])))
     if cfg.max_digit_mismatch_ratio >= 0:
         first = lambda c: F.array_join(F.slice(numbers(c), 1, 5), ", ")
-        value = F.concat(_percent(number_mismatch()), F.lit(" (src=["), first(s), F.lit("], tgt=["), first(t), F.lit("])"))
-        errors.append(_finding("numbers", number_mismatch() > cfg.max_digit_mismatch_ratio, value))
+        value = F.concat(_percent(m["mismatch"]), F.lit(" (src=["), first(s), F.lit("], tgt=["), first(t), F.lit("])"))
+        errors.append(_finding("numbers", m["mismatch"] > cfg.max_digit_mismatch_ratio, value))
     if cfg.check_no_bad_placeholders:
         ids = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\{(\d+)\}"), F.lit(1))
         for code, a, b in (("placeholders_missing", s, t), ("placeholders_extra", t, s)):
@@ -124,15 +132,23 @@ def findings(cfg: ValidationConfig = ValidationConfig()) -> tuple[Column, Column
     cyrillic, latin = script_counts()
     warnings.append(_finding("script", wrong_script(), F.concat_ws(", ", F.format_string("cyr=%d", cyrillic), F.format_string("lat=%d", latin))))
     if cfg.min_quality_score > 0:
-        errors.append(_finding("quality", quality_score() < cfg.min_quality_score, F.format_string("%.1f", F.bround(quality_score(), 1))))
+        score = quality_score(m["mismatch"])
+        errors.append(_finding("quality", score < cfg.min_quality_score, F.format_string("%.1f", F.bround(score, 1))))
     some = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast(FINDING)
     return some(errors), some(warnings)
 
 
+def _measured(units: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """units with their measures, through a generator: each is computed once, however many expressions use it."""
+    df = units.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in measures().items())))).alias("measured__"))
+    return df, {k: F.col("measured__")[k] for k in measures()}
+
+
 def validate(units: DataFrame, cfg: ValidationConfig = ValidationConfig()) -> DataFrame:
     """units with errors, warnings and is_valid."""
-    errors, warnings = findings(cfg)
-    return units.withColumns({"errors": errors, "warnings": warnings}).withColumn("is_valid", F.size("errors") == 0)
+    df, measured = _measured(units)
+    errors, warnings = findings(cfg, measured)
+    return df.withColumns({"errors": errors, "warnings": warnings}).withColumn("is_valid", F.size("errors") == 0).drop("measured__")
 
 
 def merge_results(*pairs: tuple[Column, Column]) -> tuple[Column, Column, Column]:
@@ -142,9 +158,10 @@ def merge_results(*pairs: tuple[Column, Column]) -> tuple[Column, Column, Column
 
 
 def filter_valid(units: DataFrame, cfg: ValidationConfig = ValidationConfig(), include_warnings: bool = True) -> DataFrame:
-    errors, warnings = findings(cfg)
+    df, measured = _measured(units)
+    errors, warnings = findings(cfg, measured)
     ok = F.size(errors) == 0
-    return units.where(ok if include_warnings else ok & (F.size(warnings) == 0))
+    return df.where(ok if include_warnings else ok & (F.size(warnings) == 0)).drop("measured__")
 
 
 def report_totals(units: DataFrame, cfg: ValidationConfig = ValidationConfig()) -> DataFrame:

@@ -3,13 +3,15 @@
 RE2 has no look-ahead and no back-references, so those patterns are written out: repeated
 marks one mark at a time, and a space after a mark by two passes, since matches overlap.
 
-Fuzzy pairs have no SQL here: over whole tables it takes minutes, so tests hold them against
-plain Python. Random texts and Unicode forms have none either.
+Fuzzy pairs are found here by comparing all of about one size, which only small tables allow; the compatibility
+forms of Unicode have no SQL.
 """
 
 from __future__ import annotations
 
+from ..functions.language import COMMON
 from ..operators import clean as C
+from ..operators.validate import MESSAGES
 from .views import ENTRIES, ENTRIES_BY_RANK, UNITS_DOC, UNITS_LINE, UNITS_PAGE, UNITS_TURN
 
 WS = r"[\s\x0b\x1c-\x1f]"
@@ -160,21 +162,136 @@ def messages(kind: str, turns: str) -> str:
     return f"SELECT ordinal, k - 1 AS turn, c[k].\"{role}\" AS role, c[k].{body} AS content FROM (SELECT ordinal, {turns} AS c, unnest([1, 2, 3]) AS k FROM units)"
 
 
-def split_sql(ratios: tuple[float, float, float], by: str) -> str:
+def split_size(k: int, ratios: tuple[float, float, float] = (0.9, 0.05, 0.05)) -> str:
+    """Rows of split k of n, by the largest remainders."""
     e = [f"(n * {r}::DOUBLE)" for r in ratios]
     d = [f"floor({x})" for x in e]
     p = [f"({x} - {y})" for x, y in zip(e, d)]
-    size = lambda k: f"({d[k]} + CASE WHEN " + " + ".join(f"({p[j]} > {p[k]}{f' OR {p[j]} = {p[k]}' if j < k else ''})::INT" for j in range(3) if j != k) + f" < n - {d[0]} - {d[1]} - {d[2]} THEN 1 ELSE 0 END)"
+    return f"({d[k]} + CASE WHEN " + " + ".join(f"({p[j]} > {p[k]}{f' OR {p[j]} = {p[k]}' if j < k else ''})::INT" for j in range(3) if j != k) + f" < n - {d[0]} - {d[1]} - {d[2]} THEN 1 ELSE 0 END)"
+
+
+def split_sql(ratios: tuple[float, float, float], by: str) -> str:
+    size = lambda k: split_size(k, ratios)
     return f"""WITH {UNITS_DOC}, r AS (SELECT *, row_number() OVER ({by} ORDER BY md5('42:' || ordinal::VARCHAR), ordinal) AS k, count(*) OVER ({by})::DOUBLE AS n FROM units)
 SELECT ordinal, CASE WHEN k <= {size(0)} THEN 'train' WHEN k <= {size(0)} + {size(1)} THEN 'validation' ELSE 'test' END AS split FROM r"""
 
 
+def draw(i: str, what: str) -> str:
+    """The random number of formats.rejected()."""
+    return f"('0x' || substr(md5('42:' || ordinal::VARCHAR || ':' || ({i})::VARCHAR || ':{what}'), 1, 8))::BIGINT"
+
+
+_WORDS = "list_filter(regexp_split_to_array(target_text, '[\\s\\x0b\\x1c-\\x1f]+'), lambda w: w <> '')"
+
+
+def rejected(mode: str) -> str:
+    """dpo records with texts drawn at random."""
+    if mode == "scramble":
+        text = f"array_to_string(list_transform(list_sort(list_transform(range(1, len(ws) + 1), lambda i: {{'k': {draw('i - 1', 'place')}, 'i': i, 'w': ws[i]}})), lambda x: x.w), ' ')"
+    elif mode == "noise":  # of the characters put at a place, the last stays
+        put = f"list_transform(range(1, floor(length(target_text) * 0.1)::INT + 1), lambda i: {{'p': {draw('i', 'at')} % length(target_text) + 1, 'c': chr((33 + {draw('i', 'char')} % 94)::INT)}})"
+        text = "CASE WHEN length(target_text) < 10 THEN target_text ELSE array_to_string(list_transform(range(1, length(target_text) + 1), lambda p: coalesce(list_last(list_filter(puts, lambda x: x.p = p)).c, substr(target_text, p, 1))), '') END"
+        return f"{_turn}, w AS (SELECT *, {put} AS puts FROM units) SELECT ordinal, 0 AS side, {ASK} || chr(10) || source_text AS prompt, target_text AS chosen, {text} AS rejected FROM w"
+    else:
+        extra = f"list_transform(range(1, floor(len(ws) * 0.3)::INT + 1), lambda i: {{'p': {draw('i', 'before')} % (len(ws) + 1), 'own': 0, 'i': i, 'w': ws[{draw('i', 'word')} % len(ws) + 1]}})"
+        own = "list_transform(range(1, len(ws) + 1), lambda i: {'p': i - 1, 'own': 1, 'i': i - 1, 'w': ws[i]})"
+        text = f"CASE WHEN len(ws) < 2 THEN target_text WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(list_transform(list_sort(list_concat({extra}, {own})), lambda x: x.w), ' ') END"
+    return f"{_turn}, w AS (SELECT *, {_WORDS} AS ws FROM units) SELECT ordinal, 0 AS side, {ASK} || chr(10) || source_text AS prompt, target_text AS chosen, {text} AS rejected FROM w"
+
+
+def xml_text(e: str) -> str:
+    """A text after XML: line ends are \n, forbidden characters gone, outer space too."""
+    e = f"replace(replace({e}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    return strip(sub(e, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+
+
+#: Segments of the memories that plans/roundtrips.py writes; an empty one is none.
+MEMORIES = f"""docs AS (SELECT *, coalesce(text, '') AS s, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents),
+segs AS (SELECT k, doc_id, source, 0 AS i, upper(coalesce(lang, 'zz')) AS lang, {xml_text('s')} AS text FROM docs UNION ALL SELECT k, doc_id, source, 1, 'XX', {xml_text("translate(s, 'aeiou', 'eioua')")} FROM docs
+  UNION ALL SELECT k, doc_id, source, 2, 'YY', {xml_text("translate(s, 'aeiou', 'uaeio')")} FROM docs),
+lists AS (SELECT k, doc_id, source, coalesce(list({{'lang': lang, 'text': text}} ORDER BY i) FILTER (text <> ''), []) AS xs FROM segs GROUP BY ALL),
+firsts AS (SELECT *, CASE WHEN list_contains(list_transform(xs, lambda x: x.lang), 'EN') THEN list_filter(xs, lambda x: x.lang = 'EN')[1] ELSE xs[1] END AS a FROM lists),
+pairs AS (SELECT *, list_filter(xs, lambda x: x.lang <> a.lang)[1] AS b FROM firsts),
+units AS (SELECT k AS ordinal, doc_id::VARCHAR AS tu_id, a.lang AS source_lang, b.lang AS target_lang, coalesce(a.text, '') AS source_text, coalesce(b.text, '') AS target_text, coalesce(source, '') AS meta_source, 'n' || doc_id AS notes FROM pairs)"""
+TMX_UNIT = "ordinal, tu_id, source_lang, target_lang, source_text, target_text, meta_source, notes"
+
+
+def counted(*named: tuple[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, ({what})::BIGINT AS n" for name, what in named)
+
+
+ALL_VALUES = f"""words AS (SELECT ordinal, list_distinct(regexp_extract_all(lower(source_text), '[^\\s\\x0b\\x1c-\\x1f]+')) AS wa, list_distinct(regexp_extract_all(lower(target_text), '[^\\s\\x0b\\x1c-\\x1f]+')) AS wb FROM units),
+given AS (SELECT *, {SCORE} AS score, len(list_intersect(wa, wb))::DOUBLE / greatest(len(wa), 1) AS common FROM flags JOIN words USING (ordinal))"""
+PERCENT = lambda e: f"printf('%.1f%%', round_even({e} * 100, 1))"
+ONLY = lambda a, b: f"array_to_string(list_sort(list_distinct(list_filter({PH(a)}, lambda x: NOT list_contains({PH(b)}, x)))), ', ')"
+VALUES = {
+    **{k: ("f_" + k, "NULL") for k in ("empty_source", "empty_target", "no_source_lang", "no_target_lang", "same_lang", "same_text")},
+    "noise_source": ("f_noise_source", PERCENT(noise("source_text"))),
+    "noise_target": ("f_noise_target", PERCENT(noise("target_text"))),
+    "numbers": ("mismatch > 0.1", f"{PERCENT('mismatch')} || ' (src=[' || array_to_string(a[1:5], ', ') || '], tgt=[' || array_to_string(b[1:5], ', ') || '])'"),
+    "placeholders_missing": ("f_placeholders_missing", ONLY("source_text", "target_text")),
+    "placeholders_extra": ("f_placeholders_extra", ONLY("target_text", "source_text")),
+    "alignment": ("f_alignment", f"printf('%.1f', round_even({RATIO}, 1))"),
+    "similar_words": ("len(wa) > 0 AND len(wb) > 0 AND common < 0.5", PERCENT("common")),
+    "script": ("f_script", f"'cyr=' || {CYR} || ', lat=' || {LAT}"),
+    "quality": ("score < 60", "printf('%.1f', round_even(score, 1))"),
+}
+FOUND = lambda names: " UNION ALL ".join(f"SELECT ordinal, '{k}' AS code, v AS value, concat_ws(': ', {q(MESSAGES[k])}, v) AS message FROM (SELECT ordinal, {VALUES[k][1]} AS v FROM given WHERE {VALUES[k][0]})" for k in names)
+FUZZY = f"""{CLASSES}, runs AS (SELECT ordinal, x_s, x_t, list_distinct(CASE WHEN length(x_s) < 3 THEN [x_s] ELSE list_transform(range(1, length(x_s) - 1), lambda i: substr(x_s, i, 3)) END) AS g_s,
+  list_distinct(CASE WHEN length(x_t) < 3 THEN [x_t] ELSE list_transform(range(1, length(x_t) - 1), lambda i: substr(x_t, i, 3)) END) AS g_t FROM reps),
+grams AS (SELECT ordinal, 's' AS side, unnest(g_s) AS g FROM runs UNION ALL SELECT ordinal, 't', unnest(g_t) FROM runs),
+ids AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS id FROM (SELECT DISTINCT g FROM grams)),
+sets AS (SELECT ordinal, bitstring_agg(id, 0, 262143) FILTER (side = 's') AS s, bitstring_agg(id, 0, 262143) FILTER (side = 't') AS t, count(*) FILTER (side = 's') AS n, count(*) FILTER (side = 't') AS m FROM grams JOIN ids USING (g) GROUP BY ordinal),
+met AS (SELECT x.ordinal AS a, y.ordinal AS b, x.t AS ta, y.t AS tb, x.m AS ma, y.m AS mb, x.n + y.n AS n, bit_count(x.s & y.s)::DOUBLE AS shared FROM sets x JOIN sets y ON x.ordinal < y.ordinal
+  AND least(x.n, y.n) >= 0.85 * greatest(x.n, y.n) AND least(x.m, y.m) >= 0.85 * greatest(x.m, y.m)),
+one AS (SELECT a, b, shared / (n - shared) AS source_jaccard, bit_count(ta & tb)::DOUBLE AS t, ma + mb AS m FROM met WHERE shared / (n - shared) >= 0.85),
+near AS (SELECT a, b, source_jaccard, t / (m - t) AS target_jaccard FROM one WHERE t / (m - t) >= 0.85)"""
+#: Nodes in order; each takes the state so far, a list of those that stay.
+GREEDY = """order_ AS (SELECT x, row_number() OVER (ORDER BY x) AS k, list_filter(list(y), lambda v: v IS NOT NULL) AS back FROM (SELECT b AS x, a AS y FROM near UNION ALL SELECT a, NULL FROM near) GROUP BY x),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS stays, []::BIGINT[] AS gone UNION ALL
+  SELECT o.k, CASE WHEN len(list_intersect(o.back, stays)) = 0 THEN list_append(stays, o.x) ELSE stays END, CASE WHEN len(list_intersect(o.back, stays)) = 0 THEN gone ELSE list_append(gone, o.x) END FROM walk JOIN order_ o ON o.k = walk.k + 1)"""
+
+
+def language_counts(e: str) -> str:
+    pattern = lambda x: q(r"(?:^|[^\p{L}])(?:" + COMMON[x] + r")(?:$|[^\p{L}])")
+    return "list_sort([" + ", ".join(f"{{'n': -len(regexp_extract_all(lower({e}), {pattern(x)})), 'lang': '{x}'}}" for x in sorted(COMMON)) + "])[1]"
+
+
 UNIT = "ordinal, tu_id, source_lang, target_lang, source_text, target_text"
 _doc, _turn, _page = f"WITH {UNITS_DOC}", f"WITH {UNITS_TURN}", f"WITH {UNITS_PAGE}"
 _flagged = f"{_doc}, {NUMBERS}, {FLAGGED}"
 _texts = lambda how: f"SELECT ordinal, {clean_text('source_text', **how)} AS source_text, {clean_text('target_text', **how)} AS target_text FROM units"
 
+_standard = f"{_doc} SELECT tu_id AS id, source_lang, target_lang, source_text AS source, target_text AS target FROM units"
+_detected = f"u AS (SELECT *, {language_counts('source_text')} AS best FROM units)"
+
 ORACLES: dict[str, str] = {
+    "read_tmx": f"WITH {MEMORIES} SELECT {TMX_UNIT} FROM units",
+    "read_tmx_expanded": f"""WITH {MEMORIES}, each AS (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM lists WHERE len(xs) > 2), two AS (SELECT *, unnest(range(1, len(xs) + 1)) AS j FROM each)
+SELECT k * 4096 + (i - 1) * (len(xs) - 1) + CASE WHEN j > i THEN j - 2 ELSE j - 1 END AS ordinal, doc_id::VARCHAR AS tu_id, xs[i].lang AS source_lang, xs[j].lang AS target_lang, xs[i].text AS source_text, xs[j].text AS target_text, coalesce(source, '') AS meta_source, 'n' || doc_id AS notes FROM two WHERE i <> j
+UNION ALL SELECT ordinal * 4096, {TMX_UNIT[9:]} FROM units JOIN lists ON k = ordinal WHERE len(xs) <= 2""",
+    "tmx_headers": "SELECT (row_number() OVER (ORDER BY f) - 1)::INT AS file_index, 'EN' AS source_lang, 't' AS creation_tool, NULL::VARCHAR AS creation_date, 'block' AS seg_type, 'v' AS prop_k FROM (SELECT DISTINCT doc_id // 64 AS f FROM documents)",
+    "tmx_repairs": f"SELECT count(*)::BIGINT AS entries, 0::BIGINT AS broken, sum((doc_id % 7 = 0)::INT + 3 * {count("coalesce(text, '')", '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')})::BIGINT AS repaired FROM documents",
+    **dict.fromkeys(("sink_jsonl", "sink_json", "sink_csv", "sink_tsv", "sink_parquet"), _standard),
+    "sink_splits": f"""WITH {UNITS_TURN}, r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || ordinal::VARCHAR || ':0'), ordinal) AS k, count(*) OVER ()::DOUBLE AS n FROM units),
+x AS (SELECT {ASK} AS instruction, source_text AS input, target_text AS output, CASE WHEN k <= {split_size(0, (0.8, 0.1, 0.1))} THEN 'train' WHEN k <= {split_size(0, (0.8, 0.1, 0.1))} + {split_size(1, (0.8, 0.1, 0.1))} THEN 'validation' ELSE 'test' END AS split FROM r)
+SELECT *, count(*) OVER (PARTITION BY split)::BIGINT AS size FROM x""",
+    "run_pipeline": f"WITH {MEMORIES}, {cleaned()}, uniq AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY ordinal) = 1), nums AS (SELECT *, regexp_extract_all(source_text, '\\d+') AS a, regexp_extract_all(target_text, '\\d+') AS b FROM uniq), {NUMBERS.partition(',' + chr(10))[2]}, {FLAGGED}, c AS (SELECT count(*) AS n FROM uniq), "
+    + f"s AS (SELECT n, {split_size(0)} AS train, {split_size(1)} AS validation FROM (SELECT n::DOUBLE AS n FROM c)) "
+    + counted(("input", "SELECT count(*) FROM units"), ("after_clean", "SELECT count(*) FROM kept"), ("after_dedupe", "SELECT n FROM c"), ("train", "SELECT train FROM s"), ("validation", "SELECT validation FROM s"), ("test", "SELECT n - train - validation FROM s"), ("valid", f"SELECT count(*) FROM flags WHERE {VALID}"), ("invalid", f"SELECT count(*) FROM flags WHERE NOT {VALID}"), ("duplicates_found", "SELECT count(*) - count(DISTINCT (source_lang, target_lang, source_text, target_text)) FROM uniq"), ("empty_pairs", "SELECT 0")),
+    "merge_files": f"WITH {MEMORIES}, {cleaned()}, n AS (SELECT (SELECT count(*) FROM units) AS read, (SELECT count(*) FROM kept) AS clean, (SELECT count(*) FROM (SELECT 1 FROM kept GROUP BY {KEY})) AS uniq) "
+    + counted(("input", "SELECT 2 * read FROM n"), ("after_clean", "SELECT 2 * clean FROM n"), ("after_dedupe", "SELECT uniq FROM n"), ("output", "SELECT 2 * uniq FROM n")),
+    "unicode_nfc": f"{_doc} SELECT ordinal, nfc_normalize(source_text || ' é ẛ̣ ﬁ') AS source_text, nfc_normalize(target_text || ' é ẛ̣ ﬁ') AS target_text FROM units",
+    "detect_language": f"{_doc}, {_detected} SELECT ordinal, CASE WHEN best.n <= -2 THEN best.lang END AS lang FROM u",
+    "filter_detected_language": f"{_doc}, own AS (SELECT * REPLACE (source_lang AS target_lang) FROM units), {cleaned('own')}"
+    + f", x AS (SELECT ordinal, source_lang, {language_counts('source_text')} AS a, {language_counts('target_text')} AS b FROM kept) SELECT ordinal FROM x WHERE (a.n > -2 OR a.lang = lower(source_lang)[:2]) AND (b.n > -2 OR b.lang = lower(source_lang)[:2])",
+    "validation_values": f"{_flagged}, {ALL_VALUES} {FOUND(VALUES)}",
+    "top_findings": f"{_flagged}, {ALL_VALUES}, found AS ({FOUND([k for k in VALUES if k not in ('numbers', 'similar_words', 'quality')])} UNION ALL {FOUND(['numbers']).replace('mismatch > 0.1', 'mismatch > 1.0')}) SELECT CASE WHEN code IN {ERRORS} THEN 'error' ELSE 'warning' END AS severity, message, count(*)::BIGINT AS n FROM found GROUP BY 1, 2 ORDER BY n DESC, severity, message LIMIT 15",
+    "export_pairs": f"{_doc} SELECT ordinal, 0 AS side, 'Translate from ' || source_lang || ' to ' || target_lang || ': ' || source_text AS prompt, target_text AS completion FROM units WHERE upper(source_lang) || '-' || upper(target_lang) IN ('EN-BG', 'FR-XX')",
+    "format_templates": f"{_turn} SELECT ordinal, 0 AS side, source_lang || '>' || target_lang || ': {{as is}}' AS instruction, 'see above' AS input, target_text AS output FROM units",
+    **{f"dpo_{mode}": rejected(mode) for mode in ("scramble", "noise", "repetition")},
+    "near_duplicate_pairs": f"{_doc}, {FUZZY} SELECT a, b, source_jaccard, target_jaccard FROM near",
+    "dedupe_fuzzy": f"WITH RECURSIVE {UNITS_DOC}, {FUZZY}, {GREEDY}, last AS (SELECT gone FROM walk ORDER BY k DESC LIMIT 1) SELECT ordinal FROM reps WHERE NOT list_contains((SELECT gone FROM last), ordinal)",
     "clean_dedupe_pair_stats": f"{_doc}, {cleaned()}, firsts AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY ordinal) = 1) SELECT source_lang, target_lang, count(*)::BIGINT AS n FROM firsts GROUP BY 1, 2",
     "clean_units": f"{_doc}, {cleaned()} SELECT {UNIT} FROM kept",
     "clean_html_urls": f"{_page} {_texts({'urls': True})}",

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import CleanConfig, ConvertOptions, OutputFormat, ValidationConfig
+from ..functions import language
 from ..operators import analyze, clean, dedupe, formats, split, validate
 from ..scratch import written
 from ..sinks import write
@@ -28,9 +29,10 @@ class Plan:
 
 def prepare(units: DataFrame, plan: Plan = Plan(), within: Sequence[str] = ()) -> tuple[DataFrame, dict[str, int]]:
     """Units cleaned and without duplicates, and the counts. Each stage is a table, so it is computed once."""
+    units = written(units, "input")
     counts = {"input": units.count()}
     if plan.clean is not None:
-        units = written(clean.clean(units, plan.clean), "cleaned")
+        units = written(clean.clean(units, plan.clean, language.detect), "cleaned")
     counts["after_clean"] = units.count()
     if plan.dedupe:
         units = written(dedupe.dedupe_exact(units, within=within), "unique")
@@ -40,9 +42,11 @@ def prepare(units: DataFrame, plan: Plan = Plan(), within: Sequence[str] = ()) -
     return units, counts
 
 
-def process_files(spark: SparkSession, files: Sequence[str], out: str, fmt: OutputFormat | str = OutputFormat.JSONL, plan: Plan = Plan(), merge: bool = False, single: bool = True) -> dict[str, dict[str, int]]:
+def process_files(spark: SparkSession, files: Sequence[str], out: str, fmt: OutputFormat | str = OutputFormat.JSONL, plan: Plan = Plan(), merge: bool = False, single: bool = False) -> dict[str, dict[str, int]]:
     """Each file by itself to {stem}.{format} under out, or all as one corpus to merged.{format}; counts by file.
 
+    These are folders of parts that the executors write, or with single files, by way of the driver.
+
     Files are named by their position where stems repeat. Two equal files merged count double in and once out.
     """
     fmt = OutputFormat(fmt) if isinstance(fmt, str) else fmt
@@ -56,12 +60,16 @@ def process_files(spark: SparkSession, files: Sequence[str], out: str, fmt: Outp
         ready, counts = prepare(units, plan)
         path = os.path.join(out, name if fmt is OutputFormat.HF_DATASET else f"{name}.{fmt.value}")
         write.convert(ready, path, fmt, plan.options, single=single)
-        results[name] = counts | {"output": ready.count() * (2 if plan.options.bidirectional else 1)}
+        output = formats.records(ready, fmt, plan.options).count() if plan.options.language_pairs else counts["after_dedupe"] * (2 if plan.options.bidirectional else 1)
+        results[name] = counts | {"output": output}
     return results
 
 
-def run(spark: SparkSession, files: str | Sequence[str], out: str, fmt: OutputFormat | str = OutputFormat.JSONL, plan: Plan = Plan(), test_ratio: float = 0.05, val_ratio: float = 0.05, seed: int = split.SEED, stratify: bool = False, single: bool = True) -> dict:
-    """Read, clean, dedupe, validate (a report: nothing goes), count, split, write {split}_{format}.jsonl and metadata.json."""
+def run(spark: SparkSession, files: str | Sequence[str], out: str, fmt: OutputFormat | str = OutputFormat.JSONL, plan: Plan = Plan(), test_ratio: float = 0.05, val_ratio: float = 0.05, seed: int = split.SEED, stratify: bool = False, single: bool = False) -> dict:
+    """Read, clean, dedupe, validate (a report: nothing goes), count, split, write {split}_{format}.jsonl, of standard records {split}.jsonl, and metadata.json.
+
+    Splits are folders of parts, or with single files, by way of the driver.
+    """
     fmt = OutputFormat(fmt) if isinstance(fmt, str) else fmt
     ratios = (1.0 - val_ratio - test_ratio, val_ratio, test_ratio)
     split.split_sizes(0, *ratios)
@@ -73,7 +81,7 @@ def run(spark: SparkSession, files: str | Sequence[str], out: str, fmt: OutputFo
         parted = split.split(units, ratios, seed, ["source_lang", "target_lang"] if stratify else None)
         for name in split.NAMES:
             own = formats.records(parted.where(f"split = '{name}'").drop("split"), fmt, plan.options)
-            at = os.path.join(out, f"{name}_{fmt.value}.jsonl")
+            at = os.path.join(out, f"{name}.jsonl" if fmt in formats.STANDARD else f"{name}_{fmt.value}.jsonl")
             rows = own.orderBy("ordinal", "side").drop("ordinal", "side")
             write.write_single(rows, at, OutputFormat.JSONL) if single else write.write_parts(rows, at, OutputFormat.JSONL)
         meta = split.split_counts(parted) | {"format": fmt.value, "seed": seed, "stratified": stratify} | dict(zip(("train_ratio", "val_ratio", "test_ratio"), ratios))

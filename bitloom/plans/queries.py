@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CleanConfig, ConvertOptions, OutputFormat, ValidationConfig
+from ..functions import language
 from ..operators import analyze, clean, dedupe, expand, formats, pack, split, validate
-from . import views
+from . import roundtrips, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 UNIT = ("ordinal", "tu_id", "source_lang", "target_lang", "source_text", "target_text")
@@ -49,7 +50,34 @@ def standard(u: DataFrame) -> DataFrame:
     return rows.withColumn("meta_source", F.col("metadata")["source"]).drop("metadata")
 
 
+def finding_values(u: DataFrame) -> DataFrame:
+    """A row a finding, with its value and message; a rule on common words and a gate on quality among them."""
+    found = validate.validate(u, ValidationConfig(min_similar_words_ratio=0.5, min_quality_score=60.0, max_digit_mismatch_ratio=0.1))
+    return found.select("ordinal", F.explode(F.concat("errors", "warnings")).alias("f")).select("ordinal", "f.code", "f.value", "f.message")
+
+
+def detected(u: DataFrame) -> DataFrame:
+    return clean.clean(u.withColumn("target_lang", F.col("source_lang")), CleanConfig(lang_detect=True, remove_untranslated=False), language.detect).select("ordinal")
+
+
+TEMPLATES = {"instruction_template": "{source_lang}>{tgt}: {{as is}}", "input_template": "see above"}
+
 QUERIES: dict[str, Query] = {
+    "read_tmx": roundtrips.read_tmx,
+    "read_tmx_expanded": roundtrips.read_tmx_expanded,
+    "tmx_headers": roundtrips.tmx_headers,
+    "tmx_repairs": roundtrips.tmx_repairs,
+    **{f"sink_{x.value}": roundtrips.written_as(x) for x in (OutputFormat.JSONL, OutputFormat.JSON, OutputFormat.CSV, OutputFormat.TSV, OutputFormat.PARQUET)},
+    "sink_splits": roundtrips.written_splits,
+    "run_pipeline": roundtrips.run_pipeline,
+    "merge_files": roundtrips.merge_files,
+    "unicode_nfc": doc(lambda u: u.select("ordinal", *(clean.T.unicode_form(F.concat(F.col(c), F.lit(" e\u0301 \u1e9b\u0323 \ufb01")), "NFC").alias(c) for c in ("source_text", "target_text")))),
+    "detect_language": doc(lambda u: u.select("ordinal", language.detect(F.col("source_text")).alias("lang"))),
+    "filter_detected_language": doc(detected),
+    "validation_values": doc(finding_values),
+    "top_findings": doc(validate.top_findings),
+    "export_pairs": doc(lambda u: formats.records(u, OutputFormat.PROMPT_COMPLETION, ConvertOptions(language_pairs=("en-bg", "fr-xx")))),
+    "format_templates": turn(lambda u: formats.records(u, OutputFormat.ALPACA, ConvertOptions(**TEMPLATES))),
     "clean_dedupe_pair_stats": doc(lambda u: analyze.pair_counts(dedupe.dedupe_exact(clean.clean(u)))),
     "clean_units": doc(lambda u: clean.clean(u).select(*UNIT)),
     "clean_html_urls": page(texts(CleanConfig(remove_urls=True))),

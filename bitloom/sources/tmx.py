@@ -1,15 +1,17 @@
 """Translation-memory files as entries and units.
 
 Files are read by Spark's text source with entries' end tag as the line separator, so one
-file is split over many tasks. A record is cut from its first entry tag on, cleared of the
-control characters that XML forbids, and parsed by itself in an Arrow UDF; what can't be
-parsed is reported in a column, not dropped. The place of an entry is (file, block of the
-file, place in the block), which needs no order of tasks.
-
-With whole_files, or for files that aren't UTF-8 or close entries in another way (a prefix,
-a space before >, an empty tag), which a scan finds first, each file is parsed whole by one
-task: by the encoding that its first bytes or XML declaration tell, and where it isn't well
-formed, entry by entry like the others.
+file is split over many tasks and any number of files is one scan. A record is cut from its
+first entry tag on, cleared of the control characters that XML forbids, and parsed by itself
+in an Arrow pass, which also numbers the entries of each block of a file; what can't be
+parsed is reported in a column, not dropped. An entry's ordinal is the number of entries
+before its block, a prefix sum over the blocks' counts, plus its number in the block: entries
+are in the order of the files and gapless, and no file is sorted in one task.
+
+A first scan finds each file's header, and files that aren't UTF-8 or close entries in another
+way (a prefix, a space before >, an empty tag). Those, and all with whole_files, are parsed
+whole, each by one task: by the encoding that its first bytes or XML declaration tell, and where
+it isn't well formed, entry by entry like the others.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.expand import expand
 from ..schema import as_units
+from ..scratch import written
 
 INLINE = frozenset("hi it ph ut bpt ept".split())
 FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
@@ -113,17 +116,19 @@ def _decode(raw: bytes, errors: str = "replace") -> str:
     return raw.decode(name, errors).removeprefix("\ufeff")
 
 
-def _odd(spark: SparkSession, path: str) -> bool:
-    """Whether a file of the path isn't UTF-8, or closes an entry in another way than </tu>."""
-    text = spark.read.option("lineSep", "</tu>").text(path).select("value", F.hex(F.substring(F.col("value").cast("binary"), 1, 4)).alias("start"), F.lower(F.regexp_extract("value", _DECLARED, 1)).alias("encoding"))
-    wide = F.col("start").rlike(f"^(?:{'|'.join(_WIDE)})") & F.col("value").contains("\0") | F.col("start").rlike("^(?:FFFE|FEFF)")
-    named = (F.col("encoding") != "") & ~F.col("encoding").isin(*_UTF8) & ~F.col("encoding").rlike(_WIDE_NAMES)
-    return not text.where(wide | named | F.col("value").rlike(_OTHER_END)).isEmpty()
+def _hadoop(path: str):
+    """The Hadoop path and its file system."""
+    spark = SparkSession.active()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def discover(pattern: str, base: str = "") -> list[str]:
-    """Paths for a pattern with * or ?, or the path itself if it is there."""
+    """Paths for a pattern with * or ?, or the path itself if it is there; on any file system that Spark knows."""
     at = os.path.join(base, pattern)
+    if "://" in at:
+        path, fs = _hadoop(at)
+        return sorted(x.getPath().toString() for x in fs.globStatus(path) or [])
     if "*" in pattern or "?" in pattern:
         return sorted(glob.glob(at, recursive=True))
     return [at] if os.path.exists(at) else []
@@ -132,9 +137,35 @@ def discover(pattern: str, base: str = "") -> list[str]:
 def _paths(paths: str | Sequence[str]) -> list[str]:
     paths = [paths] if isinstance(paths, str) else [str(p) for p in paths]
     for p in paths:
-        if "://" not in p and not os.path.exists(p):
+        if not (discover(p) if "://" in p else os.path.exists(p)):
             raise FileNotFoundError(p)
-    return paths
+    out = []
+    for p in paths:  # a folder stands for the files in it
+        at, fs = _hadoop(p if "://" in p else os.path.abspath(p))
+        folder = fs.getFileStatus(at).isDirectory() if "*" not in p and "?" not in p else False
+        out += sorted(x.getPath().toString() for x in fs.listStatus(at) if x.isFile()) if folder else discover(p) if "://" in p else [p]
+    return out
+
+
+def _survey(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """A row a file: file_index, path, file_id (as Spark names it), odd and head, the text before its first entry. One scan.
+
+    A path given more than once has a row each time.
+    """
+    named = [(k, p, _hadoop(os.path.abspath(p) if "://" not in p else p)) for k, p in enumerate(paths)]
+    files = spark.createDataFrame([(k, p, fs.makeQualified(at).toUri().toString()) for k, p, (at, fs) in named], "file_index int, path string, uri string")
+    text = spark.read.option("lineSep", "</tu>").text(sorted(set(paths))).select("value", F.monotonically_increasing_id().alias("mid"), F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"))
+    start, encoding = F.hex(F.substring(F.col("value").cast("binary"), 1, 4)), F.lower(F.regexp_extract("value", _DECLARED, 1))
+    first = F.col("block") == 0
+    wide = start.rlike(f"^(?:{'|'.join(_WIDE)})") & F.col("value").contains("\0") | start.rlike("^(?:FFFE|FEFF)")
+    named_other = (encoding != "") & ~encoding.isin(*_UTF8) & ~encoding.rlike(_WIDE_NAMES)
+    odd = wide | named_other | F.col("value").rlike(_OTHER_END)
+    head = F.min_by(F.when(first, F.regexp_replace(F.regexp_replace("value", f"(?s){_START}.*", ""), FORBIDDEN, "")), F.when(first, F.col("mid")))
+    found = text.groupBy("file_id").agg(F.coalesce(F.bool_or(odd), F.lit(False)).alias("odd"), head.alias("head"))
+    key = lambda c: F.regexp_replace(F.try_url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/+", "file:/")
+    found = found.withColumn("key", F.coalesce(key(F.col("file_id")), "file_id"))
+    every = files.withColumn("key", F.coalesce(key(F.col("uri")), "uri")).join(found, "key", "left")
+    return written(every.select("file_index", "path", F.coalesce("file_id", "uri").alias("file_id"), F.coalesce("odd", F.lit(False)).alias("odd"), "head"), "files")
 
 
 def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -142,11 +173,10 @@ def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
     A file without a header has nulls. Only what stands before a file's first entry is parsed, of a file that isn't UTF-8 after reading it whole.
     """
-    paths = _paths(paths)
-    return _headers(spark, paths, [_odd(spark, p) for p in paths])
+    return _headers(spark, _survey(spark, _paths(paths)))
 
 
-def _headers(spark: SparkSession, paths: Sequence[str], odd: Sequence[bool]) -> DataFrame:
+def _headers(spark: SparkSession, files: DataFrame) -> DataFrame:
     schema = "file_index int, source_lang string, creation_tool string, creation_date string, seg_type string, admin_lang string, properties map<string,string>"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,15 +201,12 @@ def _headers(spark: SparkSession, paths: Sequence[str], odd: Sequence[bool]) ->
     def before(contents: pd.Series) -> pd.Series:
         return contents.map(lambda x: re.split(_START, _decode(bytes(x)), maxsplit=1)[0])
 
-    out = None
-    for k, p in enumerate(paths):
-        if odd[k]:
-            head = spark.read.format("binaryFile").load(p).limit(1).select(F.lit(k).alias("file_index"), F.regexp_replace(before("content"), FORBIDDEN, "").alias("value"))
-        else:
-            head = spark.read.option("lineSep", "</tu>").text(p).limit(1).select(F.lit(k).alias("file_index"), F.regexp_replace("value", FORBIDDEN, "").alias("value"))
-        every = spark.range(1).select(F.lit(k).alias("file_index")).join(head, "file_index", "left")
-        out = every if out is None else out.unionByName(every)
-    return out.mapInPandas(scan, schema)
+    heads = files.where("not odd").select("file_index", F.col("head").alias("value"))
+    odd = [x.path for x in files.where("odd").select("path").distinct().collect()]
+    if odd:
+        whole = spark.read.format("binaryFile").load(odd).select(F.col("_metadata.file_path").alias("file_id"), F.regexp_replace(before("content"), FORBIDDEN, "").alias("value"))
+        heads = heads.unionByName(files.where("odd").select("file_index", "file_id").join(whole, "file_id", "left").select("file_index", "value"))
+    return heads.mapInPandas(scan, schema)
 
 
 def entries(spark: SparkSession, paths: str | Sequence[str], keep_tags: bool = False, whole_files: bool = False, strict: bool = False) -> DataFrame:
@@ -187,40 +214,45 @@ def entries(spark: SparkSession, paths: str | Sequence[str], keep_tags: bool = F
 
     repaired counts the control characters taken out of an entry. strict: only entries in a body, and a broken file fails.
     """
-    paths = _paths(paths)
-    parts = []
-    for k, p in enumerate(paths):
-        rows = _whole(spark, p, keep_tags, strict) if whole_files or strict or _odd(spark, p) else _chunks(spark, p, keep_tags)
-        parts.append(rows.withColumn("ordinal", F.lit(k).cast("long") * (1 << 40) + F.col("ordinal")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _chunks(spark: SparkSession, path: str, keep_tags: bool) -> DataFrame:
-    header = _headers(spark, [path], [False]).select(F.col("source_lang").alias("header_lang"))
-    text = spark.read.option("lineSep", "</tu>").text(path)
-    scan = text.select(F.monotonically_increasing_id().alias("mid"), F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), "value")
-    found = scan.withColumn("value", F.regexp_extract("value", f"(?s){_START}.*\\z", 0)).where("value <> ''")
-    clean = found.select("mid", "file_id", "block", F.regexp_count("value", F.lit(FORBIDDEN)).alias("repaired"), F.concat(F.regexp_replace("value", FORBIDDEN, ""), F.lit("</tu>")).alias("value"))
-    rows = clean.crossJoin(F.broadcast(header))  # one row
-
-    @F.pandas_udf(ENTRY)
-    def parse(values: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_parse(v, lang, keep_tags) for v, lang in zip(values, langs)], columns=[c.split()[0] for c in ENTRY.split(", ")])
+    files = _survey(spark, _paths(paths))
+    if whole_files or strict:
+        files = files.withColumn("odd", F.lit(True))
+    plain, odd = ([x.path for x in files.where(c).select("path").distinct().collect()] for c in ("not odd", "odd"))
+    parts = [_chunks(spark, plain, _headers(spark, files.where("not odd")), files, keep_tags)] if plain else []
+    parts += [_whole(spark, odd, keep_tags, strict)] if odd else []
+    rows, blocks = (x[0] if len(x) == 1 else x[0].unionByName(x[1]) for x in zip(*parts))
+    counts = blocks.groupBy("file_id", "block").agg(F.count(F.lit(1)).alias("n")).join(files.select("file_index", "file_id"), "file_id")
+    by = Window.orderBy("file_index", "block")  # a row a block of a file
+    base = counts.select("file_index", "file_id", "block", (F.sum("n").over(by) - F.col("n")).alias("base"))
+    ordinal = F.coalesce(F.col("base"), F.raise_error(F.lit("a file changed while it was read")).cast("long")) + F.col("rank")
+    return rows.join(base, ["file_id", "block"], "left").select(ordinal.alias("ordinal"), *(c for c in rows.columns if c not in ("rank", "block")))
+
+
+def _chunks(spark: SparkSession, paths: Sequence[str], header: DataFrame, files: DataFrame, keep_tags: bool) -> tuple[DataFrame, DataFrame]:
+    """Entries with block and rank, their place in the block, by one narrow pass; and file_id and block of each, without parsing."""
+    langs = {x.file_id: x.source_lang for x in header.join(files, "file_index").select("file_id", "source_lang").where("source_lang is not null").collect()}  # a row a file
+    given = spark.sparkContext.broadcast(langs)
+    text = spark.read.option("lineSep", "</tu>").text(list(paths))
+    found = text.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), F.regexp_extract("value", f"(?s){_START}.*\\z", 0).alias("value")).where("value <> ''")
+    clean = found.select("file_id", "block", F.regexp_count("value", F.lit(FORBIDDEN)).cast("int").alias("repaired"), F.concat(F.regexp_replace("value", FORBIDDEN, ""), F.lit("</tu>")).alias("value"))
+    schema = f"file_id string, block long, rank long, header_lang string, repaired int, {ENTRY}"
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n = None, 0  # a block's entries follow each other
+        for b in batches:
+            rows = []
+            for name, block, repaired, value in b.itertuples(index=False, name=None):
+                n = n + 1 if (name, block) == now else 0
+                now = name, block
+                lang = given.value.get(name)
+                rows.append((name, block, n, lang, repaired, *_parse(value, lang, keep_tags)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    parsed = rows.select("mid", "file_id", "block", "repaired", "header_lang", parse("value", "header_lang").alias("e"))
-    # entries before each block, by a prefix sum over the blocks' counts: no file is sorted in one task
-    counts = clean.groupBy("file_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("file_id").orderBy("block")
-    base = counts.select("file_id", "block", (F.sum("n").over(by) - F.col("n")).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("file_id", "block").orderBy("mid"))
-    return parsed.withColumn("rank", rank).join(base, ["file_id", "block"]).select((F.col("base") + F.col("rank") - 1).cast("long").alias("ordinal"), "file_id", "header_lang", "repaired", "e.*")
+    return clean.mapInPandas(parse, schema), clean.select("file_id", "block")
 
 
-def _whole(spark: SparkSession, path: str, keep_tags: bool, strict: bool) -> DataFrame:
-    schema = f"ordinal long, file_id string, header_lang string, repaired int, {ENTRY}"
+def _whole(spark: SparkSession, paths: Sequence[str], keep_tags: bool, strict: bool) -> tuple[DataFrame, DataFrame]:
+    schema = f"rank long, file_id string, header_lang string, repaired int, {ENTRY}"
 
     def events(text: str) -> Iterator[tuple]:
         parser = ET.XMLPullParser(("start", "end"), _parser=ET.XMLParser(encoding="utf-8"))
@@ -264,7 +296,9 @@ def _whole(spark: SparkSession, path: str, keep_tags: bool, strict: bool) -> Dat
                             rows = []
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, schema)
+    content = spark.read.format("binaryFile").load(list(paths)).select(F.col("_metadata.file_path").alias("path"), "content")
+    rows = written(content.mapInPandas(read, schema).withColumn("block", F.lit(0).cast("long")), "whole-files")
+    return rows, rows.select("file_id", "block")
 
 
 def read_tmx(spark: SparkSession, paths: str | Sequence[str], expand_multilingual: bool = False, **how) -> DataFrame:

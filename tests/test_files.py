@@ -110,7 +110,7 @@ def test_sinks(spark, sample, tmp_path):
         assert spark.read.csv(write.convert(u, f"{tmp_path}/parts.{fmt}", fmt), sep=sep, header=True).count() == len(WANT)
     assert spark.read.parquet(write.convert(u, f"{tmp_path}/o.parquet", "parquet")).count() == len(WANT)
     assert spark.read.json(write.convert(u, f"{tmp_path}/parts.jsonl", "chatml")).count() == len(WANT)
-    write.convert(u, f"{tmp_path}/hf", "hf_dataset", ConvertOptions(bidirectional=True), ratios=(0.5, 0.25, 0.25), stratify_by_lang=True)
+    write.convert(u, f"{tmp_path}/hf", "hf_dataset", ConvertOptions(bidirectional=True), ratios=(0.5, 0.25, 0.25), stratify_by_lang=True, single=True)
     meta = json.load(open(f"{tmp_path}/hf/metadata.json"))
     assert meta["total"] == 18 and meta["train"] + meta["validation"] + meta["test"] == 18 and meta["stratified"]
     assert sum(1 for _ in open(f"{tmp_path}/hf/train.jsonl", encoding="utf-8")) == meta["train"]
@@ -119,7 +119,10 @@ def test_sinks(spark, sample, tmp_path):
 
 
 def test_pipeline_and_batch(spark, sample, tmp_path):
-    report = pipeline.run(spark, sample, f"{tmp_path}/out", "chatml", val_ratio=0.25, test_ratio=0.25)
+    report = pipeline.run(spark, sample, f"{tmp_path}/out", "chatml", val_ratio=0.25, test_ratio=0.25, single=True)
+    parts = pipeline.run(spark, sample, f"{tmp_path}/parts", "chatml", val_ratio=0.25, test_ratio=0.25)
+    assert parts["splits"] == report["splits"] and spark.read.json(f"{tmp_path}/parts/*_chatml.jsonl").count() == 7
+    assert json.load(open(f"{tmp_path}/parts/metadata.json")) == json.load(open(f"{tmp_path}/out/metadata.json"))
     assert report["counts"] == {"input": 9, "after_clean": 8, "after_dedupe": 7} and report["splits"]["total"] == 7
     assert sum(1 for s in ("train", "validation", "test") for _ in open(f"{tmp_path}/out/{s}_chatml.jsonl", encoding="utf-8")) == 7
     merged = pipeline.process_files(spark, [sample, sample], f"{tmp_path}/m", merge=True)
@@ -131,9 +134,20 @@ def test_pipeline_and_batch(spark, sample, tmp_path):
 def test_cli(spark, sample, tmp_path, capsys):
     assert cli.main(["convert", sample, "-o", f"{tmp_path}/c.jsonl", "-f", "alpaca"], spark) == 0
     assert json.loads(capsys.readouterr().out)["after_dedupe"] == 7
+    assert cli.main(["convert", sample, "-o", f"{tmp_path}/k.jsonl", "--include-id", "--include-metadata", "--no-dedupe", "--streaming"], spark) == 0
+    assert {"id", "metadata"} <= set(spark.read.json(f"{tmp_path}/k.jsonl").columns)
+    with pytest.raises(SystemExit):
+        cli.main(["convert", sample, "-o", f"{tmp_path}/x.jsonl", "--streaming"], spark)
+    assert "--no-dedupe" in capsys.readouterr().err
+    assert cli.main(["clean", sample, "-o", f"{tmp_path}/w.jsonl", "--min-words", "2", "--keep-html", "--remove-urls", "--remove-emails", "--max-ratio", "9", "--lang-detect"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["before"] == 9 and all(" " in json.loads(x)["source"] for x in open(f"{tmp_path}/w.jsonl", encoding="utf-8"))
     assert cli.main(["clean", sample, "-o", f"{tmp_path}/c.csv"], spark) == 0 and len(open(f"{tmp_path}/c.csv", encoding="utf-8").readlines()) == 8
     assert cli.main(["stats", sample, "-o", f"{tmp_path}/s.json"], spark) == 0 and json.load(open(f"{tmp_path}/s.json"))["total_units"] == 9
-    assert cli.main(["validate", sample], spark) == 0 and cli.main(["parse", sample, "--limit", "3", "-o", f"{tmp_path}/p.json"], spark) == 0
+    capsys.readouterr()
+    assert cli.main(["parse", sample, "--limit", "3", "-o", f"{tmp_path}/p.json"], spark) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert shown["units"] == 3 == shown["stats"]["total_units"] and shown["header"]["source_lang"] == "EN"
+    assert cli.main(["validate", sample], spark) == 0
     assert len(json.load(open(f"{tmp_path}/p.json", encoding="utf-8"))) == 3
     assert cli.main(["merge", sample, sample, "-o", f"{tmp_path}/g"], spark) == 0
     assert cli.main(["stats", f"{tmp_path}/nothing*"], spark) == 2
