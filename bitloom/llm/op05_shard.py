@@ -9,10 +9,14 @@ maps by version in a table.
 
 Sizes, hashes and places are DataFrame expressions; only the SLOTS sums by slot reach
 the driver, and only the map, a row a slot, is broadcast. A row's place in its shard
-is the number of rows in the shard's slots before its own, plus its rank in its slot.
+is the number of rows in the shard's slots before its own, plus its rank in its slot. A slot
+of more than CROWDED rows is ranked in parts, by the task that read a row, and the parts put
+together by a prefix sum of their counts: rows that repeat, which share a slot, are no one
+task's. Equal texts of different doc_ids part: together they may be more than a shard's share.
 
 A null text has size 1 and the empty text's CRC. Null doc_ids are spread by their
-text, one doc_id with many texts as well; equal rows share a slot.
+text, one doc_id with many texts as well; equal rows share a slot. A very long text is only
+hashed and measured; it never leaves the scan. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from ._spark import new_path, table, written
 
 SHARDS = 16
 SLOTS = 8192
+#: Rows of a slot above which its ranks are counted in parts.
+CROWDED = 1 << 20
 
 
 def slot(slots: int = SLOTS) -> Column:
@@ -34,7 +40,7 @@ def slot(slots: int = SLOTS) -> Column:
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot(slots).alias("virtual_slot"))
+    return docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot(slots).alias("virtual_slot"), F.spark_partition_id().alias("read_by"))
 
 
 def assign(sizes: dict[int, int], shards: int = SHARDS) -> dict[int, int]:
@@ -70,8 +76,9 @@ def grow(now: dict[int, int], sizes: dict[int, int]) -> dict[int, int]:
 
 
 def save(spark: SparkSession, shard_of: dict[int, int], version: int, path: str) -> None:
-    """Adds a version to the table of maps."""
-    spark.createDataFrame([(version, s, k) for s, k in sorted(shard_of.items())], "version int, virtual_slot int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Adds a version to the table of maps; a version that is there stays, and saving it again fails."""
+    rows = spark.createDataFrame(sorted(shard_of.items()), "virtual_slot int, shard int")
+    rows.coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
 
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> dict[int, int]:
@@ -94,8 +101,17 @@ def place(rows: DataFrame, shard_of: dict[int, int], totals: dict[int, tuple[int
         before[k] = before.get(k, 0) + totals.get(s, (0, 0))[1]
     spark = rows.sparkSession
     where = F.broadcast(spark.createDataFrame(entries, "virtual_slot int, shard int, base long"))
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("rank", rank.cast("long")).join(where, "virtual_slot").withColumn("place", F.col("base") + F.col("rank") - 1).drop("rank", "base")
+    crowded = [s for s, (_, n) in totals.items() if n > CROWDED]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("part", F.when(F.col("virtual_slot").isin(crowded), F.pmod("read_by", F.lit(parts))).otherwise(0)) if crowded else rows.withColumn("part", F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")).cast("long")
+    ranked = rows.withColumn("rank", rank).join(where, "virtual_slot")
+    if crowded:
+        before = Window.partitionBy("virtual_slot").orderBy("part")
+        counts = rows.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"))
+        ahead = counts.select("virtual_slot", "part", (F.sum("n").over(before) - F.col("n")).alias("ahead"))
+        ranked = ranked.join(ahead, ["virtual_slot", "part"]).withColumn("rank", F.col("rank") + F.col("ahead")).drop("ahead")
+    return ranked.withColumn("place", F.col("base") + F.col("rank") - 1).drop("rank", "base", "part", "read_by")
 
 
 def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:

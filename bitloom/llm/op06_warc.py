@@ -6,12 +6,15 @@ revisits for the others, a WARC/1.1 record and a Zstandard frame each. The dicti
 trained on whole records of about SAMPLE digests, the share of them that is smallest, one
 record each and SAMPLE_BYTES of payloads in all at most, and stands in a leading skippable
 frame of every archive, so an archive can be read by itself. A task writes its archives
-under final names once complete; a task that runs again replaces them by equals.
-read() streams archives back, record by record, and verifies every payload's digest.
+under final names once complete. Names hold the task's attempt, since an attempt may get its
+rows in another order: the result lists the archives of the attempts that count, and those of
+others are in no list. read() streams archives back, record by record, and verifies every
+payload's digest.
 
 A null html is an empty payload. A null page_id is larger than any other; rows that repeat
 both page_id and payload are all responses if that id is the smallest. Null urls are left out
-of the record; control characters and spaces in a url are percent-encoded there.
+of the record; control characters and spaces in a url are percent-encoded there. A very long
+payload is held a few times over while its record is written or read.
 """
 
 from __future__ import annotations
@@ -72,13 +75,13 @@ def record(page: int | None, url: str | None, payload: bytes, first: int | None,
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, given: bytes, level: int, archive_bytes: int) -> Iterator[pa.RecordBatch]:
-    part, n = TaskContext.get().partitionId(), 0
+    task, n = TaskContext.get(), 0
     data = zstandard.ZstdCompressionDict(given) if given else None
     compressor = zstandard.ZstdCompressor(level=level, dict_data=data)
     rows = ((b, i) for b in batches for i in range(len(b)))
     row = next(rows, None)
     while row is not None:
-        name, records, size = f"{part:06d}-{n:04d}.warc.zst", 0, 0
+        name, records, size = f"{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}.warc.zst", 0, 0
         with _files.Whole(f"{folder}/{name}") as out:
             if given:
                 out.write(struct.pack("<II", MAGIC, len(given)) + given)

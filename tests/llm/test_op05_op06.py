@@ -5,7 +5,9 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 import zstandard
+from pyspark.errors import AnalysisException
 
 from bitloom.llm import _files, op05_shard, op06_warc
 
@@ -46,6 +48,20 @@ def test_growth_only_moves_into_the_new_shard(spark, tmp_path):
         now = new
     assert op05_shard.load(spark, f"{tmp_path}/maps") == now
     assert set(op05_shard.load(spark, f"{tmp_path}/maps", 1).values()) == set(range(4))
+    with pytest.raises(AnalysisException):
+        op05_shard.save(spark, now, 3, f"{tmp_path}/maps")
+    assert op05_shard.load(spark, f"{tmp_path}/maps") == now
+
+
+def test_crowded_slots_are_ranked_in_parts(spark, tmp_path, monkeypatch):
+    rows = documents() + [(None, "")] * 60 + [(9, "copy")] * 40
+    d = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, size int, part int, rank string").repartition(7)
+    monkeypatch.setattr(op05_shard, "CROWDED", 5)
+    out = op05_shard.shard(spark, d, shards=3, slots=40).collect()
+    places = defaultdict(list)
+    for x in out:
+        places[x.shard].append(x.place)
+    assert len(out) == len(rows) and all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
 def test_plan_is_native(spark, tmp_path):
@@ -107,3 +123,10 @@ def test_dictionary_learns_whole_records_of_different_payloads(spark, tmp_path,
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     op06_warc.write(spark, pages, f"file://{tmp_path}/warc")
     assert sorted(seen) == sorted(op06_warc.record(p, u, h.encode(), p, False) for p, u, h in rows if p % 3 == 0 or p == 1)
+
+
+def test_pages_with_clashing_columns(spark, tmp_path):
+    rows = [(p, u, h, "d", p, "r") for p, u, h in pages()]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, first long, archive string")
+    archives = op06_warc.write(spark, d, f"file://{tmp_path}/warc")
+    assert op06_warc.read(spark, archives, f"file://{tmp_path}/warc").count() == len(rows)
