@@ -17,8 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Bytes of text that are handled at once; the working set is about 60 times as large.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are handled at once, if they are of more than one text; the working set is about 60 times as large.
+SLICE_BYTES = 1 << 19
+#: Bytes, or symbols, that are hashed at once, also in a longer text.
+HASHED = 1 << 20
 #: Words of more bytes are hashed by XXH64: the polynomial hash is for short words.
 LONG_WORD = 64
 
@@ -58,10 +60,17 @@ class Hasher:
         return self._up, self._down
 
     def ranges(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        up, down = self.powers(len(buf) + 1)
-        run = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((self.lower_values if lower else self.values)[buf] * down[: len(buf)], out=run[1:])
-        h = mix((run[end] - run[start]) * up[start] + (end - start).astype(np.uint64))
+        """Hashes of buf[start[i] : end[i]], start sorted."""
+        values, h = self.lower_values if lower else self.values, np.zeros(len(start), np.uint64)
+        for first in range(0, len(buf), HASHED):
+            i, j = np.searchsorted(start, (first, first + HASHED))
+            if i < j:
+                a, b = start[i:j] - first, np.minimum(end[i:j], start[i:j] + LONG_WORD) - first
+                part = buf[first : first + int(b.max())]
+                up, down = self.powers(len(part) + 1)
+                run = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(values[part] * down[: len(part)], out=run[1:])
+                h[i:j] = mix((run[b] - run[a]) * up[a] + (b - a).astype(np.uint64))
         for i in np.flatnonzero(end - start > LONG_WORD):
             raw = bytes(buf[start[i] : end[i]])
             h[i] = xxhash.xxh64_intdigest(raw.lower() if lower else raw, int(self.base & 0xFFFF))
@@ -69,6 +78,18 @@ class Hasher:
 
     def windows(self, symbols: np.ndarray, starts: np.ndarray, width) -> np.ndarray:
         """Hashes of symbols[s : s + width] for s in starts; width is a number or one per start."""
+        if len(symbols) <= HASHED:
+            return self._windows(symbols, starts, width)
+        width, h = np.broadcast_to(width, len(starts)), np.zeros(len(starts), np.uint64)
+        order = np.argsort(starts, kind="stable")
+        edges = np.searchsorted(starts[order], np.arange(0, len(symbols) + HASHED, HASHED))
+        for first, i, j in zip(range(0, len(symbols), HASHED), edges, edges[1:]):
+            if i < j:
+                own = order[i:j]
+                h[own] = self._windows(symbols[first : int((starts[own] + width[own]).max())], starts[own] - first, width[own])
+        return h
+
+    def _windows(self, symbols: np.ndarray, starts: np.ndarray, width) -> np.ndarray:
         up, down = self.powers(len(symbols) + 1)
         run = np.zeros(len(symbols) + 1, np.uint64)
         np.cumsum(symbols * down[: len(symbols)], out=run[1:])

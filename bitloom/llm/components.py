@@ -24,16 +24,20 @@ def local(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges and result: (u, v) with v < u. Every neighbour list is reduced by partial
+    """edges and result: tables of (u, v) with v < u. Every neighbour list is reduced by partial
     aggregation, and the join's one side has a row per node: a hub's list is never one group.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "stars")
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "stars")
+        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = moved.unionByName(least.select("u", F.col("m").alias("v")))
+    out = written(out.distinct(), "stars")
+    drop(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,13 +46,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges: any numbers, in either direction, repeats and loops allowed; null ends are ignored.
     Rounds grow with the logarithm of the longest chain; each is a table in the shared folder.
     """
-    at = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before, last = None, None
+    at = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    before = None
     while True:
-        at = written(_star(written(_star(at, True), "stars"), False), "stars")
+        middle = _star(at, True)
+        drop(at)
+        at = _star(middle, False)
+        drop(middle)
         now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if last is not None:
-            drop(last)
         if now == before:
             return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before, last = now, at
+        before = now

@@ -6,14 +6,16 @@ weights for label pairs. Viterbi decoding labels a document's lines; a document
 if lines of content hold SHARE of its words or more, and it passes the base rules.
 
 labels.quality marks documents, not lines. Training takes at most SAMPLE labelled
-documents, those of the smallest hashes, with all their lines. Lines of
+documents and SAMPLE_BYTES of text, those of the smallest hashes, with all their lines. Lines of
 good documents are content. A line of a bad document is first labelled by the odds of its
 bins in bad against good documents; the field is fitted to that by its likelihood (forward
 and backward sums), labels the bad documents' lines anew, and is fitted again. Everything
 else runs over all documents and whole texts.
 
 Null and empty texts have no words: they fail the base rules. Where labels lack good or bad
-documents no line is boilerplate. Rows that repeat a doc_id are judged each by its text.
+documents no line is boilerplate. Rows that repeat a doc_id are judged each by its text. A
+line's first of equal ones counts as no repeat; equal shares and scores go to content. A very
+long text is judged whole, which takes some 25 times its size of memory.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import sample as labelled
 from ._spark import table
 
 SHARE = 0.5
 SAMPLE = 3000
+SAMPLE_BYTES = 24 << 20
 ROUNDS = 2
 MIN_WORDS = 20
 REPEAT_WIDTH = 8
@@ -91,6 +95,7 @@ def lines(s: T.Slice, w: T.Words, h: np.ndarray) -> Lines:
     first = np.searchsorted(w.start, start)
     n = np.searchsorted(w.start, end) - first
     some = n > 0
+    whole_start = start  # of every line; between them only line ends stand, which nothing counts
     start, end, first, n = start[some], end[some], first[some], n[some]
     row = np.searchsorted(s.at, start, "right") - 1
     whole = T.HASH[0].ranges(s.buf, start, np.minimum(end, start + T.LONG_WORD))
@@ -101,9 +106,10 @@ def lines(s: T.Slice, w: T.Words, h: np.ndarray) -> Lines:
     dup[order[1:]] = (row[order[1:]] == row[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]])
 
     def count(kind: np.ndarray) -> np.ndarray:
-        run = np.zeros(len(s.buf) + 1, np.int64)
-        np.cumsum(kind[s.buf], out=run[1:])
-        return run[end] - run[start]
+        """Bytes of a kind in each line with a word."""
+        at = np.searchsorted(whole_start, start, "right") - 1
+        inside = whole_start[whole_start < len(s.buf)]
+        return np.add.reduceat(kind[s.buf], inside, dtype=np.int64)[at] if len(inside) and len(at) else np.zeros(len(at), np.int64)
 
     line = np.repeat(np.arange(len(n)), n)
     at = T.ranges(first, n)
@@ -236,9 +242,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", (F.col("quality") == 0).alias("bad"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(_features, "bad boolean, bins binary").toArrow()
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") == 0).alias("bad"))
+    rows = labelled(docs, known, "bad", sample, SAMPLE_BYTES).mapInArrow(_features, "bad boolean, bins binary").toArrow()
     flat = [np.frombuffer(x, np.uint8).reshape(-1, len(BINS)) for x in rows.column("bins").to_pylist()]
     n = [len(x) for x in flat]
     if not sum(n):
@@ -278,16 +283,36 @@ VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def judge(texts: DataFrame, field: Field) -> DataFrame:
-    """texts: a column text and others, which stay; adds the columns of VERDICT."""
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
-    return texts.mapInArrow(lambda batches: _judge(batches, field), f"{rest}, {VERDICT}")
+    """texts: a column text and others; result: rest, a struct of the others, and the columns of VERDICT."""
+    packed = texts.select(F.struct(*[F.col(f"`{c}`") for c in texts.columns if c != "text"]).alias("rest"), F.col("text").cast("string").alias("text"))
+    return packed.mapInArrow(lambda batches: _judge(batches, field), f"rest {packed.schema['rest'].dataType.simpleString()}, {VERDICT}")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those that the base rules or the line labels reject."""
     field = train(spark, docs, labels)
-    return judge(docs.select(F.struct("*").alias("doc"), "text"), field).where("kept").select("doc.*")
+    return judge(docs.select(F.struct("*").alias("doc"), "text"), field).where("kept").select("rest.doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return judge(docs, train(spark, docs, table(spark, sf_dir, "labels")))
+    return judge(docs, train(spark, docs, table(spark, sf_dir, "labels"))).select("rest.doc_id", *(c.split()[0] for c in VERDICT.split(", ")))
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the base rules count, of every document, without the field's verdict."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return judge(docs, NONE).select("rest.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+SQL_COUNTS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line),
+dup AS (SELECT doc_id, sum(n - 1) AS n FROM lines GROUP BY doc_id),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM d WHERE len(w) >= 8),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(w) AS base_failed
+FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id
+"""

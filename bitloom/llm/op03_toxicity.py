@@ -8,12 +8,14 @@ document labels train it: the likelihood's gradient reaches each sentence in pro
 to its share in the document's score, so the weights come to mark the sentences that
 offend, which locate() returns.
 
-Training takes at most SAMPLE labelled documents, those of the smallest hashes; only rows
+Training takes at most SAMPLE labelled documents and SAMPLE_BYTES of text, those of the smallest hashes; only rows
 whose crc32(doc_id as text) mod FOLDS is not HELD_OUT. The FEATURES buckets that tell toxic
 from other sampled documents best (by chi-square over document counts, which executors add
 up) may have a weight. Scoring covers every sentence of every whole text. A score depends on
-the text alone. A document without a word is scored as one empty sentence. Without labels of
-both kinds every score is 0.
+the text alone, so rows that repeat an id or a text are scored alike. A document without a word
+(null, empty) is scored as one empty sentence. Without labels of both kinds every score is 0.
+Equal chi-squares go by bucket. A very long text is scored whole, which takes some 25 times its
+size of memory.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import sample as labelled
 from ._spark import table, written
 
 BUCKETS = 1 << 20
 PREFIXES = (5, 6, 7, 8, 9)
 SAMPLE = 20000
+SAMPLE_BYTES = 64 << 20
 FEATURES = 4096
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -150,8 +154,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     none = Model(np.zeros(BUCKETS + 1), -np.inf)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"), "op3-sample")
+    rows = written(labelled(docs, known, "toxic", sample, SAMPLE_BYTES), "op3-sample")
     counts = rows.mapInArrow(_counts, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = counts.where(f"bucket = {BUCKETS} or toxic >= {LEAST_DOCUMENTS}").toArrow()
     bucket, toxic, clean = (counts.column(c).to_numpy() for c in ("bucket", "toxic", "clean"))
@@ -192,23 +195,22 @@ def _score(batches: Iterator[pa.RecordBatch], model, spans: bool) -> Iterator[pa
 
 
 def score(spark: SparkSession, texts: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """texts: a column text and others, which stay; adds score, and with spans the offending sentences:
-    array of (byte, text, score), byte being where its first word begins in the text's UTF-8.
+    """texts: a column text and others; result: rest, a struct of the others, score, and with spans the offending
+    sentences: array of (byte, text, score), byte being where its first word begins in the text's UTF-8.
     """
     given = spark.sparkContext.broadcast(model)  # BUCKETS weights, whatever the input
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
+    packed = texts.select(F.struct(*[F.col(f"`{c}`") for c in texts.columns if c != "text"]).alias("rest"), F.col("text").cast("string").alias("text"))
     more = ", sentences array<struct<byte:long,text:string,score:double>>" if spans else ""
-    return texts.mapInArrow(lambda batches: _score(batches, given, spans), f"{rest}, score double{more}")
+    return packed.mapInArrow(lambda batches: _score(batches, given, spans), f"rest {packed.schema['rest'].dataType.simpleString()}, score double{more}")
 
 
 def locate(spark: SparkSession, texts: DataFrame, model: Model) -> DataFrame:
-    """A row for each sentence that offends: the columns of texts but text, and byte, sentence and sentence_score."""
-    rest = [c for c in texts.columns if c != "text"]
-    each = score(spark, texts, model, spans=True).select(*rest, F.explode("sentences").alias("s"))
-    return each.select(*rest, F.col("s.byte").alias("byte"), F.col("s.text").alias("sentence"), F.col("s.score").alias("sentence_score"))
+    """A row for each sentence that offends: rest, a struct of the columns of texts but text, and byte, sentence and sentence_score."""
+    each = score(spark, texts, model, spans=True).select("rest", F.explode("sentences").alias("s"))
+    return each.select("rest", F.col("s.byte").alias("byte"), F.col("s.text").alias("sentence"), F.col("s.score").alias("sentence_score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(spark, docs, table(spark, sf_dir, "labels"))
-    return score(spark, docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(spark, docs, model).select("rest.doc_id", held_out(F.col("rest.doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

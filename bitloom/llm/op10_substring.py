@@ -20,7 +20,8 @@ without a safe symbol are verified too.
 
 Nulls, empty texts and texts of fewer than WIDTH words lose nothing. A null doc_id
 is neither smaller nor larger than another. Rows that share a doc_id are one
-document each; their words are judged against other doc_ids only.
+document each; their words are judged against other doc_ids only. A very long text is
+parsed whole, which takes some 25 times its size of memory.
 """
 
 from __future__ import annotations
@@ -239,3 +240,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(copy, F.lit(none)).otherwise(F.coalesce("left_sha", "whole")).alias("kept_sha256"),
         )
     )
+
+
+SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM d WHERE len(w) >= 50),
+firsts AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN firsts USING (h) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d WHERE doc_id IN (SELECT doc_id FROM gone)),
+left_ AS (SELECT doc_id, coalesce(string_agg(x, ' ' ORDER BY k) FILTER (gone.k IS NULL), '') AS t, count(gone.k) AS n FROM words LEFT JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE t END) AS kept_sha256 FROM d LEFT JOIN left_ ON d.doc_id = left_.doc_id
+"""

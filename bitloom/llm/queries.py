@@ -1,4 +1,4 @@
-"""The queries of this package: one per operator, over its whole table."""
+"""The queries of this package: one per operator, over its whole table, and what SQL can express of another."""
 
 from __future__ import annotations
 
@@ -19,10 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op08_extract.query,
     "op9_benchmark_decontamination": op09_decontaminate.query,
     "op10_substring_dedup": op10_substring.query,
+    "quality_counts": op02_quality.counts,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op6_warc": op06_warc.SQL,
     "op9_benchmark_decontamination": op09_decontaminate.SQL,
+    "op10_substring_dedup": op10_substring.SQL,
+    "quality_counts": op02_quality.SQL_COUNTS,
 }

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from bitloom.llm import _text as T
+from bitloom.llm._spark import sample
 from bitloom.llm import op02_quality as quality
 from bitloom.llm import op03_toxicity as toxicity
 
@@ -104,7 +105,7 @@ def test_toxicity(spark, tmp_path):
     found = toxicity.locate(spark, d, toxicity.train(spark, d, lab)).collect()
     assert np.mean([bool(re.search("moron|idiot|scum", x.sentence)) for x in found]) > 0.9
     texts = dict(docs)
-    assert all(texts[x.doc_id].encode()[x.byte :].startswith(x.sentence.encode()) for x in found)
+    assert all(texts[x.rest.doc_id].encode()[x.byte :].startswith(x.sentence.encode()) for x in found)
 
 
 def test_held_out_labels_change_nothing(spark, tmp_path):
@@ -135,3 +136,64 @@ def test_training_takes_all_lines():
     text = "\n".join(f"Line {k} here." for k in range(200))
     b = pa.RecordBatch.from_pydict({"bad": [True, False, False], "text": [text, "one line", None]})
     assert [len(x) // len(quality.BINS) for y in quality._features([b]) for x in y.column("bins").to_pylist()] == [200, 1, 0]
+
+
+def plain_score(text, model):
+    """Noisy-or over sentences, word by word."""
+    sentences, now = [], []
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    for m in re.finditer(rb"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)|[.!?\n]", raw):
+        if m.group(1):
+            now.append(m.group(1))
+        elif now:
+            sentences.append(now)
+            now = []
+    if now or not sentences:
+        sentences.append(now)
+    hashed = lambda k, w: int(T.HASH[k].ranges(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) % toxicity.BUCKETS
+    clean = 1.0
+    for own in sentences:
+        z = model.bias + sum(model.weights[hashed(0, w)] + sum(model.weights[hashed(1, w[:n])] for n in toxicity.PREFIXES if len(w) > n) for w in own)
+        clean *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - clean
+
+
+def test_scores_against_plain_python(spark):
+    docs, labels = corpus(random.Random(15), 300)
+    docs += [(900, None), (901, ""), (902, "..!"), (903, "one sentence"), (903, "one sentence"), (904, "Two! Moron\nx. " * 300), (None, "Éa IDIOT é.b")]
+    d = spark.createDataFrame([(i, t, 0.5, "s") for i, t in docs], "doc_id long, text string, score double, sentences string")
+    model = toxicity.train(spark, d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.weights.any()
+    out = toxicity.score(spark, d, model, spans=True).collect()  # with columns of its own names
+    assert [(x.rest.doc_id, x.rest.score) for x in out] == [(i, 0.5) for i, _ in docs]
+    assert [x.score for x in out] == pytest.approx([plain_score(t, model) for _, t in docs], abs=1e-9)
+
+
+def test_samples_are_bounded(spark):
+    docs = [(k, "x" * 100) for k in range(50)] + [(7, "x" * 90)] * 20 + [(None, "n")]
+    known = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1)], "doc_id long, bad int")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sample(d, known, "bad", 1000, 1 << 20).count() == 50
+    assert sample(d, known, "bad", 1000, 1000).count() in (9, 10) and sample(d, known, "bad", 5, 1 << 20).count() <= 5
+
+
+def test_verdicts_beside_clashing_columns(spark):
+    docs, labels = corpus(random.Random(16), 40)
+    d = spark.createDataFrame([(i, t, "k", 1) for i, t in docs], "doc_id long, text string, kept string, n_words int")
+    out = quality.keep_good(spark, d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert out.columns == d.columns and {tuple(x) for x in out.collect()} <= {tuple(x) for x in d.collect()} and out.count()
+
+
+def test_hashes_of_long_texts(monkeypatch):
+    r = np.random.default_rng(4)
+    buf = r.integers(97, 123, 5000).astype(np.uint8)
+    buf[r.integers(0, 5000, 700)] = 32
+    w = T.words(T.Slice(0, 1, buf, np.array([0, 5000])))
+    h = T.HASH[0].ranges(buf, w.start, w.end)
+    at = r.permutation(len(h) - 9)
+    whole = T.HASH[1].windows(h, at, 7)
+    mixed = T.HASH[1].windows(h, at, 1 + at % 9)
+    monkeypatch.setattr(T, "HASHED", 64)
+    assert (T.HASH[0].ranges(buf, w.start, w.end) == h).all()
+    assert (T.HASH[1].windows(h, at, 7) == whole).all() and (T.HASH[1].windows(h, at, 1 + at % 9) == mixed).all()
+    assert (T.HASH[0].ranges(buf, w.start, w.end)[3] == T.HASH[0].ranges(buf[w.start[3] : w.end[3]], np.array([0]), np.array([w.end[3] - w.start[3]]))).all()

@@ -116,3 +116,21 @@ def test_remembering_is_bounded(monkeypatch):
     for _, text in fixture():
         for s in T.slices(pa.array([text])):
             assert encoder.encode(s)[0].tolist() == ids(text)
+
+
+def test_clashing_columns(spark, tmp_path):
+    rows = [(i, t, 1, 2, "x", "y") for i, t in fixture()]
+    d = spark.createDataFrame(rows, "doc_id long, text string, start int, rank int, bucket string, file string")
+    assert op04_pack.pack(spark, d).count() >= len(rows)
+    folder = f"file://{tmp_path}/tokens"
+    order = op07_token_counts.write(spark, d, folder)
+    assert order.count() == len(rows) == op07_token_counts.count_tokens(spark, folder).count()
+
+
+def test_documents_are_whole_and_padding_is_small(spark, tmp_path):
+    rows = fixture()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op04_pack.query(spark, str(tmp_path)).collect()
+    total = sum(x.length for x in out)
+    assert total == sum(len(ids(t)) + 1 for _, t in rows)
+    assert 4096 * len({x.sequence_id for x in out}) - total < 4096 + 0.1 * total
