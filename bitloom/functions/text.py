@@ -7,6 +7,7 @@ Python's str.split and re count as white space.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +32,20 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(WORD)).cast("long")
 
 
+def token_counter(path: str) -> Callable[[Column], Column]:
+    """Counts of tokens by a tokenizer file, in place of word_count(). Needs the package tokenizers."""
+
+    @F.pandas_udf("long")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        for t in texts:
+            yield pd.Series([len(x.ids) for x in tokenizer.encode_batch_fast(t.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
+
+    return lambda c: count(c)
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,21 +19,25 @@ def with_texts() -> Column:
     return ~blank("source_text") & ~blank("target_text")
 
 
-def _measures() -> dict[str, Column]:
+def _measures(columns: dict[str, str]) -> dict[str, Column]:
     out = {}
-    for side in SIDES:
-        for unit, size in (("chars", F.length(f"{side}_text").cast("long")), ("words", T.word_count(F.col(f"{side}_text")))):
-            size = F.when(with_texts(), size)
-            for name, f in (("sum", F.sum), ("min", F.min), ("max", F.max)):
-                out[f"{side}_{unit}_{name}"] = F.coalesce(f(size), F.lit(0)).cast("long")
-            out[f"{side}_{unit}_avg"] = F.coalesce(F.avg(size), F.lit(0.0))
+    for name, c in columns.items():
+        size = F.when(with_texts(), F.col(c))
+        for kind, f in (("sum", F.sum), ("min", F.min), ("max", F.max)):
+            out[f"{name}_{kind}"] = F.coalesce(f(size), F.lit(0)).cast("long")
+        out[f"{name}_avg"] = F.coalesce(F.avg(size), F.lit(0.0))
     return out
 
 
-def stats(units: DataFrame) -> DataFrame:
-    """One row: units in all, with texts and without, and sums, least, most and averages of characters and words."""
+def stats(units: DataFrame, count: Callable[[Column], Column] = T.word_count) -> DataFrame:
+    """One row: units in all, with texts and without, and sums, least, most and averages of characters and words.
+
+    count: what counts as words, such as tokens by functions.text.token_counter().
+    """
+    sizes = {f"{side}_{unit}": f(F.col(f"{side}_text")) for side in SIDES for unit, f in (("chars", lambda c: F.length(c).cast("long")), ("words", count))}
+    sized = units.select("source_text", "target_text", *(c.alias(f"{k}__") for k, c in sizes.items()))
     total, valid = F.count(F.lit(1)), F.count_if(with_texts())
-    return units.agg(total.alias("total_units"), valid.alias("valid_units"), (total - valid).alias("empty_pairs"), *(c.alias(k) for k, c in _measures().items()))
+    return sized.agg(total.alias("total_units"), valid.alias("valid_units"), (total - valid).alias("empty_pairs"), *(c.alias(k) for k, c in _measures({k: f"{k}__" for k in sizes}).items()))
 
 
 def pair_counts(units: DataFrame) -> DataFrame:

@@ -10,45 +10,39 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def block_starts(units: DataFrame, max_chars: int = 2048, group: Sequence[str] = ()) -> DataFrame:
-    """ordinal and begins, by unit, per group in order of ordinal."""
+def block_of(units: DataFrame, max_chars: int = 2048, group: Sequence[str] = ()) -> DataFrame:
+    """ordinal and block, the ordinal of its block's first unit, by unit; per group in order of ordinal."""
     sized = units.select(*group, "ordinal", (F.length("source_text") + F.length("target_text")).cast("long").alias("n__"))
     keys = list(group) or ["g__"]
     if not group:
         sized = sized.withColumn("g__", F.lit(0))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used = None, 0
+        now, used, block = None, 0, None
         for b in batches:
-            begins = []
-            for key, n in zip(b[keys].itertuples(index=False, name=None), b["n__"]):
-                begin = key != now or used + n > max_chars
-                used = n if begin else used + n
-                now = key
-                begins.append(begin)
-            yield pd.DataFrame({"ordinal": b["ordinal"], "begins": begins})
+            blocks = []
+            for key, ordinal, n in zip(b[keys].itertuples(index=False, name=None), b["ordinal"].tolist(), b["n__"].tolist()):
+                if key != now or used + n > max_chars:
+                    now, used, block = key, 0, ordinal
+                used += n
+                blocks.append(block)
+            yield pd.DataFrame({"ordinal": b["ordinal"], "block": blocks})
 
     ordered = sized.repartition(*keys).sortWithinPartitions(*keys, "ordinal")
-    return ordered.mapInPandas(fold, "ordinal long, begins boolean")
+    return ordered.mapInPandas(fold, "ordinal long, block long")
 
 
 def pack(units: DataFrame, max_chars: int = 2048, group: Sequence[str] = ()) -> DataFrame:
     """Blocks: ordinal (their first unit's), its id and languages, and the texts joined by line ends.
 
     Without group the whole corpus is one sequence, streamed through one task as two numbers a
-    unit; texts are joined by block, in parallel.
+    unit; texts are joined by block, in parallel. With group=["file_id"] files run in parallel.
     """
-    keys = list(group) or ["g__"]
-    marked = units.join(block_starts(units, max_chars, group), "ordinal")
-    if not group:
-        marked = marked.withColumn("g__", F.lit(0))
-    numbers = Window.partitionBy(*keys).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    light = marked.select(*keys, "ordinal", F.max(F.when(F.col("begins"), F.col("ordinal"))).over(numbers).alias("block"))
-    joined = marked.drop(*keys if not group else []).join(light.select("ordinal", "block"), "ordinal")
+    joined = units.join(block_of(units, max_chars, group), "ordinal")
     parts = F.array_sort(F.collect_list(F.struct("ordinal", "source_text", "target_text")))
     head = F.min_by(F.struct("tu_id", "source_lang", "target_lang"), "ordinal")
     blocks = joined.groupBy("block").agg(parts.alias("parts"), head.alias("head"))

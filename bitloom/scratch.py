@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_kept: set[str] = set()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -26,7 +27,16 @@ def scratch(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """In a folder of the application, which its JVM deletes when it ends."""
+    at = f"{scratch(spark)}/{spark.sparkContext.applicationId}"
+    if at not in _kept:
+        _kept.add(at)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(conf)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{at}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

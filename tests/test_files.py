@@ -1,12 +1,15 @@
 import csv
 import json
+import zipfile
 
 import pytest
 
 from bitloom import cli
 from bitloom.config import ConvertOptions
+from bitloom.functions import text
+from bitloom.operators import analyze
 from bitloom.plans import pipeline
-from bitloom.sinks import write
+from bitloom.sinks import bundle, write
 from bitloom.sources import tmx
 from bitloom.streaming import units as streaming
 
@@ -166,11 +169,11 @@ def test_stream(spark, sample, tmp_path):
 
 @pytest.mark.parametrize("encoding", ["UTF-16", "UTF-16-LE", "ISO-8859-1", "windows-1251"])
 def test_encodings_are_found(spark, tmp_path, encoding):
-    text = {"ISO-8859-1": "é ü"}.get(encoding, "я ж")
-    plain = save(tmp_path / "p.tmx", *(tu(("en", f"a {k}"), ("bg", f"{text} {k}"), attributes=f'tuid="{k}"') for k in range(3)))
+    target = {"ISO-8859-1": "é ü"}.get(encoding, "я ж")
+    plain = save(tmp_path / "p.tmx", *(tu(("en", f"a {k}"), ("bg", f"{target} {k}"), attributes=f'tuid="{k}"') for k in range(3)))
     path = tmp_path / "e.tmx"
     path.write_bytes(open(plain, encoding="utf-8").read().replace("UTF-8", encoding).encode(encoding))
-    assert pairs(tmx.read_tmx(spark, str(path))) == [(str(k), "EN", "BG", f"a {k}", f"{text} {k}") for k in range(3)]
+    assert pairs(tmx.read_tmx(spark, str(path))) == [(str(k), "EN", "BG", f"a {k}", f"{target} {k}") for k in range(3)]
     assert tmx.broken(spark, str(path)).first().asDict() == {"entries": 3, "broken": 0, "repaired": 0}
     assert tmx.headers(spark, str(path)).first().source_lang == "EN"
 
@@ -192,3 +195,36 @@ def test_other_ends_are_found(spark, tmp_path, end, prefix):
 def test_empty_entries_take_no_other_along(spark, tmp_path):
     path = save(tmp_path / "e.tmx", "<tu tuid='0'/>", tu(("en", "a"), ("bg", "b"), attributes='tuid="1"'))
     assert pairs(tmx.read_tmx(spark, path)) == [("0", None, None, "", ""), ("1", "EN", "BG", "a", "b")]
+
+
+def test_bundle(spark, sample, tmp_path):
+    u = tmx.read_tmx(spark, sample)
+    for fmt, names in (("jsonl", {"dataset.jsonl"}), ("csv", {"dataset.csv"}), ("hf_dataset", {"hf_splits/train.jsonl", "hf_splits/validation.jsonl", "hf_splits/test.jsonl", "hf_splits/metadata.json"})):
+        report = bundle.bundle(u, f"{tmp_path}/b.zip", fmt)
+        with zipfile.ZipFile(f"{tmp_path}/b.zip") as z:
+            assert set(z.namelist()) == {"pipeline_report.json"} | names
+            assert json.loads(z.read("pipeline_report.json"))["pipeline"]["after_dedupe"] == 7 == report["stats"]["total_units"]
+            if fmt == "jsonl":
+                assert len(z.read("dataset.jsonl").splitlines()) == 7
+    assert report["pipeline"]["validation_pre"]["total"] == 9 and report["pipeline"]["validation_post"]["total"] == 7
+
+
+def test_token_counts(spark, sample):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public.path("word_bpe_49k.json")
+    u = tmx.read_tmx(spark, sample)
+    own = tokenizers.Tokenizer.from_file(path)
+    want = [len(own.encode(x.source_text, add_special_tokens=False).ids) for x in u.collect() if x.source_text and x.target_text]
+    got = analyze.stats(u, text.token_counter(path)).first()
+    assert (got.source_words_sum, got.source_words_max) == (sum(want), max(want))
+
+
+def test_many_files_and_folders(spark, tmp_path):
+    folder = tmp_path / "a b+c%20é"
+    folder.mkdir()
+    for k in range(12):
+        save(folder / f"{k:02d}.tmx", *(tu(("en", f"e {k} {i}"), ("bg", f"я {k} {i}"), attributes=f'tuid="{k}-{i}"') for i in range(k)))
+    rows = tmx.read_tmx(spark, str(folder)).orderBy("ordinal").collect()
+    assert [x.tu_id for x in rows] == [f"{k}-{i}" for k in range(12) for i in range(k)] and [x.ordinal for x in rows] == list(range(66))
+    assert len(tmx.discover(f"file://{tmp_path}/*/*.tmx")) == 12 and tmx.discover(f"file://{tmp_path}/none*") == []
