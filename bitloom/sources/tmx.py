@@ -143,7 +143,8 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
     for p in paths:  # a folder stands for the files in it
         at, fs = _hadoop(p if "://" in p else os.path.abspath(p))
         folder = fs.getFileStatus(at).isDirectory() if "*" not in p and "?" not in p else False
-        out += sorted(x.getPath().toString() for x in fs.listStatus(at) if x.isFile()) if folder else discover(p) if "://" in p else [p]
+        name = lambda x: x.toString() if "://" in p else x.toUri().getPath()  # noqa: B023, E731
+        out += sorted(name(x.getPath()) for x in fs.listStatus(at) if x.isFile()) if folder else discover(p) if "://" in p else [p]
     return out
 
 
@@ -162,9 +163,8 @@ def _survey(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     odd = wide | named_other | F.col("value").rlike(_OTHER_END)
     head = F.min_by(F.when(first, F.regexp_replace(F.regexp_replace("value", f"(?s){_START}.*", ""), FORBIDDEN, "")), F.when(first, F.col("mid")))
     found = text.groupBy("file_id").agg(F.coalesce(F.bool_or(odd), F.lit(False)).alias("odd"), head.alias("head"))
-    key = lambda c: F.regexp_replace(F.try_url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/+", "file:/")
-    found = found.withColumn("key", F.coalesce(key(F.col("file_id")), "file_id"))
-    every = files.withColumn("key", F.coalesce(key(F.col("uri")), "uri")).join(found, "key", "left")
+    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    every = files.withColumn("key", key("uri")).join(found.withColumn("key", key("file_id")), "key", "left")
     return written(every.select("file_index", "path", F.coalesce("file_id", "uri").alias("file_id"), F.coalesce("odd", F.lit(False)).alias("odd"), "head"), "files")
 
 
