@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import table, text_key, written
+from ._spark import drop, table, text_key, written
 from .components import components, local
 
 SHINGLE = 3
@@ -250,12 +250,16 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "op1-fingerprints",
     )
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "op1-distinct")
-    links = nodes(distinct).repartition("copy", "top").sortWithinPartitions("copy", "rank").select("copy", "top", "fp").mapInArrow(lambda batches: _links(batches, DISTANCE), "a long, b long")
-    stars = components(written(links, "op1-links"))
+    pairs = nodes(distinct).repartition("copy", "top").sortWithinPartitions("copy", "rank").select("copy", "top", "fp").mapInArrow(lambda batches: _links(batches, DISTANCE), "a long, b long")
+    links = written(pairs, "op1-links")
+    stars = components(links)
     rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "op1-rooted")
     classes = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "op1-classes")
-    return marked.join(written(rooted.join(classes, "root").select("fp", "root", "component_id"), "op1-components"), "fp")
+    out = marked.join(written(rooted.join(classes, "root").select("fp", "root", "component_id"), "op1-components"), "fp")
+    for done in (distinct, links, stars, rooted, classes):
+        drop(done)
+    return out
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
