@@ -236,3 +236,24 @@ def test_more_pairs_than_ordinals_fail(spark):
         else:
             with pytest.raises(Exception, match="more than 4096 pairs"):
                 expand.expand(e, multilingual=True).collect()
+
+
+def test_many_numbers_in_a_text(units):
+    import random
+    from collections import Counter
+
+    r = random.Random(8)
+    rows = []
+    for n in (0, 1, 5, 10_000):
+        a = [str(r.randrange(n + 1)) for _ in range(n)]
+        b = a[:]
+        r.shuffle(b)
+        rows += [(" ".join(a), " ".join(b)), (" ".join(a), " ".join(b[: n // 2] + [str(r.randrange(n + 1)) for _ in range(n // 3)])), (" ".join(a), " ".join(a))]
+    want = []
+    for s, t in rows:
+        a, b = s.split(), t.split()
+        apart = sum(abs(Counter(a)[v] - Counter(b)[v]) for v in {*a, *b}) if len(a) < 100 else sum(((Counter(a) - Counter(b)) + (Counter(b) - Counter(a))).values())
+        moved = sum(x != y for x, y in zip(a, b)) / len(a) if a else 0
+        want.append(0.0 if not a and not b else 1.0 if not a or not b else apart / (len(a) + len(b)) if apart else moved)
+    got = [x.m for x in units(*rows).select("ordinal", validate.number_mismatch().alias("m")).orderBy("ordinal").collect()]
+    assert got == want
