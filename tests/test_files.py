@@ -199,7 +199,7 @@ def test_empty_entries_take_no_other_along(spark, tmp_path):
 
 def test_bundle(spark, sample, tmp_path):
     u = tmx.read_tmx(spark, sample)
-    for fmt, names in (("jsonl", {"dataset.jsonl"}), ("csv", {"dataset.csv"}), ("hf_dataset", {"hf_splits/train.jsonl", "hf_splits/validation.jsonl", "hf_splits/test.jsonl", "hf_splits/metadata.json"})):
+    for fmt, names in (("jsonl", {"dataset.jsonl"}), ("hf_dataset", {"hf_splits/train.jsonl", "hf_splits/validation.jsonl", "hf_splits/test.jsonl", "hf_splits/metadata.json"})):
         report = bundle.bundle(u, f"{tmp_path}/b.zip", fmt)
         with zipfile.ZipFile(f"{tmp_path}/b.zip") as z:
             assert set(z.namelist()) == {"pipeline_report.json"} | names
