@@ -26,6 +26,11 @@ CARD = r"(?U)\b(?:\d[\- ]*?){13,16}\b"
 IBAN = r"(?iU)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"
 
 
+def without_emails(c: Column, by: str) -> Column:
+    """The pattern is tried from every character of a word on, so only texts with an @ are searched."""
+    return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, EMAIL, by)).otherwise(c)
+
+
 def keep_tokens_of_tags(c: Column) -> Column:
     """Each tag becomes the placeholder tokens in it, joined by spaces; other text stays."""
     parts = F.regexp_extract_all(c, F.lit("<[^>]+>|[^<]+|<"), F.lit(0))
@@ -42,7 +47,8 @@ def fix_punctuation(c: Column) -> Column:
 
 def mask_pii(c: Column, mask: str) -> Column:
     given = mask.replace("\\", "\\\\").replace("$", "\\$")
-    for pattern in (EMAIL, IBAN, CARD, PHONE):
+    c = without_emails(c, given)
+    for pattern in (IBAN, CARD, PHONE):
         c = F.regexp_replace(c, pattern, given)
     return c
 
@@ -71,7 +77,7 @@ def _finished(c: Column, cfg: CleanConfig) -> Column:
     if cfg.remove_urls:
         c = F.regexp_replace(c, URL, " ")
     if cfg.remove_emails:
-        c = F.regexp_replace(c, EMAIL, " ")
+        c = without_emails(c, " ")
     if cfg.fix_punctuation:
         c = fix_punctuation(c)
     if cfg.anonymize_pii:

@@ -81,6 +81,7 @@ def class_key(source: Column, target: Column) -> Column:
 def classes(units: DataFrame) -> DataFrame:
     """Units that no fuzzy comparison tells apart: ordinal, and rep, the smallest ordinal among equals, by unit."""
     keyed = units.select("ordinal", class_key(side_text("source_lang", "source_text"), side_text("target_lang", "target_text")).alias("k"))
+    keyed = written(keyed, "classes")  # both sides of the join read keys, not texts
     reps = keyed.groupBy("k").agg(F.min("ordinal").alias("rep"))
     return keyed.join(reps, "k").select("ordinal", "rep")
 

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import as_units
 
 
+def shifted(text: Column, cycle: str, by: str) -> Column:
+    """F.translate(text, cycle, by) for a cycle of characters: each is replaced in all the text, in half the time."""
+    free = F.lit("\x01")
+    order = [cycle[0]]
+    while (x := by[cycle.index(order[-1])]) != cycle[0]:
+        order.append(x)
+    out = F.replace(text, F.lit(order[-1]), free)
+    for a, b in zip(order[-2::-1], order[:0:-1]):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(F.contains(text, free), F.translate(text, cycle, by)).otherwise(F.replace(out, free, F.lit(order[0])))
+
+
 def units_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit a document: the target is a letter-shifted copy, empty, equal, cut or with a number by doc_id."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     i, text = F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))
-    t = F.translate(text, "aeiou", "eioua")
+    t = shifted(text, "aeiou", "eioua")
     target = F.when(i % 17 == 0, "").when(i % 13 == 0, text).when(i % 11 == 0, F.substring(t, F.lit(1), F.floor(F.length(text) / 4).cast("int"))).when(i % 7 == 0, F.concat(t, F.lit(" 42"))).otherwise(t)
     return as_units(
         d.select(
