@@ -43,3 +43,34 @@ def test_costly_patterns_see_no_whole_text(spark):
     plan = spark.range(1).select(T.unicode_form(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert "regexp_replace" in plan and "regexp_extract_all" in plan  # and Python gets parts of texts
     assert "regexp_replace" not in spark.range(1).select(T.strip(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_punctuation_and_control_characters_change_as_by_the_replacements_alone(spark, characters):
+    import itertools
+    import random
+
+    r = random.Random(6)
+    some = [*".,;:!?", " ", "\n", "\x1c", "\x85", " ", "a", "7", "٣", "Ж", "\x07", "<", "{"]
+    texts = ["".join(x) for n in range(4) for x in itertools.product(some, repeat=n)] + ["".join(r.choices(some, k=r.randrange(4, 30))) for _ in range(4000)]
+    each = F.explode(F.array(*(F.concat(F.lit(a), F.col("c"), F.lit(b)) for a in (".", "!", "x") for b in (".", "!", "x"))))
+    d = spark.createDataFrame([(x,) for x in texts], "c string").union(characters.select(each))
+    c = F.col("c")
+    was = F.regexp_replace(c, r"([.!?])\1+", "$1")
+    was = F.regexp_replace(was, rf"(?U){T.SPACE}+([.,;:!?])", "$1")
+    was = F.regexp_replace(was, r"(?U)([;:!?])(?=[^\s\x1c-\x1f])|([.,])(?=[^\x1c-\x1f\s\d])", "$1$2 ")
+    assert d.where(clean.fix_punctuation(c) != was).count() == 0
+    assert d.where(clean._normal(c, clean.CleanConfig(normalize_unicode=False)) != F.regexp_replace(c, clean.CONTROL, "")).count() == 0
+    assert d.where(F.trim(T.collapse(c)) != T.strip(T.collapse(c))).count() == 0
+
+
+def test_targets_are_not_searched_where_the_source_fails(spark):
+    """Nor are texts punctuated that have no misplaced mark."""
+    from bitloom.schema import as_units
+
+    u = as_units(spark.createDataFrame([(k, "EN", "BG", s, t) for k, (s, t) in enumerate([("x" * 20_000, "y"), ("of the", "и на"), ("de la", "y"), ("abc", "и да , ."), ("<b>", "y"), ("a", "{0}"), ("a", "b" * 9)])], "ordinal long, source_lang string, target_lang string, source_text string, target_text string"))
+    asked = []
+    out = clean.clean(u, clean.CleanConfig(lang_detect=True), lambda c: asked.append(c) or F.when(c.contains("la"), "fr"))
+    assert [(x.ordinal, x.target_text) for x in out.orderBy("ordinal").collect()] == [(1, "и на"), (3, "и да, .")] and len(asked) == 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()  # from its end to its beginning
+    first, last = plan.rindex("<= 10000"), plan.index("<= 10000")
+    assert first > plan.rindex("Generate", 0, first) > last
